@@ -56,3 +56,8 @@ def ship(spark: SparkSession) -> None:
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table, marked for broadcast only if it is counted to hold no more than that many (narrow) rows."""
+    return F.broadcast(df) if df.count() <= rows else df

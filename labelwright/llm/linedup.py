@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, sized
 from .quality import NOT_SPACE, SPACE
 
 PREFIX = "__line_"
@@ -55,9 +55,9 @@ def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_s
     """
     lines = materialize(line_table(docs, site, text), "lines")
     spread = spread_lines(lines, min_sites)
-    found = lines.select(TEXT, POS, LINE).join(spread, LINE, "left_semi").groupBy(TEXT).agg(F.collect_set(POS).alias(POS))
+    found = materialize(lines.select(TEXT, POS, LINE).join(spread, LINE, "left_semi").groupBy(TEXT).agg(F.collect_set(POS).alias(POS)), "line-places")
     keyed = docs.withColumn(KEY, _digest(docs[text]))
-    joined = keyed.join(found, keyed[KEY] == found[TEXT], "left")
+    joined = keyed.join(sized(found), keyed[KEY] == found[TEXT], "left")
     parts = F.split(F.col(text), "\n")
     rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(POS), i)), "\n")
     total = F.when(F.col(POS).isNotNull(), _n_words(F.col(text)))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, linedup, packing, quality
-from .common import table
+from . import decontaminate, jaccard_join, langid, license_scan, linedup, packing, pii, quality, quotes, warc
+from .common import scratch_path, table
 
 
 def word_vocabulary() -> str:
@@ -17,6 +17,13 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the pages as archives in the shared folder and reads them back."""
+    base = scratch_path(spark, "warc")
+    warc.write(table(spark, sf_dir, "pages"), base)
+    return warc.read(spark, base, with_payload=False).drop("url")
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality.judge(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "host_rejected", "kept")
@@ -30,6 +37,27 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary()).drop("group_id")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The key is a fixed one for tests; production callers pass their own secret."""
+    found = pii.pseudonymise_documents(table(spark, sf_dir, "documents"), "key for tests", ["doc_id"])
+    return found.select("doc_id", F.size("spans").cast("long").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("spans.kind")), ",").alias("kinds"), F.col("clean_text").alias("text"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = langid.identify(docs, langid.train(docs), ["doc_id"])
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
+def op8_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link_quotes(table(spark, sf_dir, "conversations"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_total", "line_removed", "text")
 
@@ -39,7 +67,19 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_quality_rules, op3_license_scan, op4_packing, op9_line_dedup, op10_benchmark_decontamination)}
+    found = (
+        op1_warc,
+        op2_quality_rules,
+        op3_license_scan,
+        op4_packing,
+        op5_jaccard_join,
+        op6_pseudonyms,
+        op7_language_id,
+        op8_quote_linking,
+        op9_line_dedup,
+        op10_benchmark_decontamination,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
