@@ -101,7 +101,7 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
     hosts are one host. A null or empty text has no words and fails as short. Repeated rows are judged each. Extra
     columns are left alone. An empty table gives no rows.
     """
-    names = {k: f"{PREFIX}{i}" for i, k in enumerate(keep)}
+    names = {k: f"{PREFIX}k{i}" for i, k in enumerate(keep)}
     held = docs.select(*(docs[k].alias(v) for k, v in names.items()), docs[host].alias(PREFIX + "host"), docs[text].alias(PREFIX + "text"))
     counted = with_counts(held, [*names.values(), PREFIX + "host"], PREFIX + "text").withColumnRenamed(PREFIX + "host", "host")
     flags = rule_flags()
@@ -112,12 +112,14 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
     out = scored.join(rates, F.col("host").eqNullSafe(F.col(PREFIX + "h")), "left").drop(PREFIX + "h")
     out = out.withColumn("host_rejected", F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False)))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
-    taken = {"host", *(c for c in out.columns if not c.startswith(PREFIX))}
-    return out.select(*(F.col(v).alias(k if k not in taken else f"doc_{k}") for k, v in names.items()), *(c for c in out.columns if not c.startswith(PREFIX)))
+    own = set(names.values())
+    taken = [c for c in out.columns if c not in own]
+    return out.select(*(F.col(v).alias(k if k not in taken else f"doc_{k}") for k, v in names.items()), *taken)
 
 
 def kept_documents(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = 0.5) -> DataFrame:
     """The rows that :func:`judge` keeps, with the columns of the input; texts are written once and never shuffled."""
-    cols = docs.columns
-    judged = judge(docs, cols, host, text, max_host_rate).filter("kept")
-    return judged.select(*(F.col(c if c in judged.columns and f"doc_{c}" not in judged.columns else f"doc_{c}").alias(c) for c in cols))
+    names = [f"{PREFIX}c{i}" for i in range(len(docs.columns))]
+    at = dict(zip(docs.columns, names, strict=True))
+    judged = judge(docs.toDF(*names), names, at[host], at[text], max_host_rate).filter("kept")
+    return judged.select(*(F.col(v).alias(k) for k, v in at.items()))

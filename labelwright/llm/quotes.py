@@ -18,6 +18,7 @@ MARKS = r"^[ \t]*((?:>[ \t]?)+)"
 ANNOUNCE = r"(?i)(wrote|writes|schrieb|a écrit|escribió)[ \t]*:[ \t\r]*$"
 
 PREFIX = "__quote_"
+NEW = ("quote_levels", "n_passages", "n_linked", "parent_turn", "thread_turn", "reply_level")
 
 
 def normalised(text: Column) -> Column:
@@ -115,7 +116,7 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     quoted = F.coalesce(messages[text].rlike(r"(^|\n)[ \t]*>"), F.lit(False))
     depths = F.transform(_passages(messages[text]), lambda p: p["depth"])
     out = out.select(
-        *((F.when(quoted, _own_text(messages[text])).otherwise(messages[text]).alias(c) if c == text else messages[c]) for c in messages.columns),
+        *((F.when(quoted, _own_text(messages[text])).otherwise(messages[text]).alias(c) if c == text else messages[c]) for c in messages.columns if c not in NEW),
         F.when(quoted, F.array_max(depths)).otherwise(0).cast("long").alias("quote_levels"),
         F.when(quoted, F.size(depths)).otherwise(0).cast("long").alias("n_passages"),
         F.coalesce(PREFIX + "n", F.lit(0)).cast("long").alias("n_linked"),
