@@ -35,7 +35,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder; a lost executor costs a rerun of tasks, never the rows."""
     spark = df.sparkSession
     df.write.parquet(path := scratch_path(spark, name))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again."""
+    for df in tables:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(df._scratch)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:

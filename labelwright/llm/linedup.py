@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, sized
+from .common import discard, materialize, sized
 from .quality import NOT_SPACE, SPACE
 
 PREFIX = "__line_"
@@ -41,7 +41,9 @@ def spread_lines(lines: DataFrame, min_sites: int = 10, lg_k: int = 12, margin:
     likely = materialize(sketches.filter(F.col("sites") >= min_sites * (1 - margin)), "line-sketches")
     near = likely.filter(F.col("sites") <= min_sites * (1 + margin)).select(LINE)
     exact = lines.join(near, LINE, "left_semi").select(LINE, SITE).distinct().groupBy(LINE).count().filter(F.col("count") >= min_sites)
-    return materialize(likely.filter(F.col("sites") > min_sites * (1 + margin)).select(LINE).unionByName(exact.select(LINE)), "line-spread")
+    out = materialize(likely.filter(F.col("sites") > min_sites * (1 + margin)).select(LINE).unionByName(exact.select(LINE)), "line-spread")
+    discard(likely)
+    return out
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = 10, max_share: float = 0.5, total_as: str = "line_total", removed_as: str = "line_removed") -> DataFrame:
@@ -56,6 +58,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_s
     lines = materialize(line_table(docs, site, text), "lines")
     spread = spread_lines(lines, min_sites)
     found = materialize(lines.select(TEXT, POS, LINE).join(spread, LINE, "left_semi").groupBy(TEXT).agg(F.collect_set(POS).alias(POS)), "line-places")
+    discard(lines, spread)
     keyed = docs.withColumn(KEY, _digest(docs[text]))
     joined = keyed.join(sized(found), keyed[KEY] == found[TEXT], "left")
     parts = F.split(F.col(text), "\n")

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import let, materialize, sized
 
 #: What separates words, what counts as a symbol.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -118,8 +118,13 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
 
 
 def kept_documents(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = 0.5) -> DataFrame:
-    """The rows that :func:`judge` keeps, with the columns of the input; texts are written once and never shuffled."""
-    names = [f"{PREFIX}c{i}" for i in range(len(docs.columns))]
-    at = dict(zip(docs.columns, names, strict=True))
-    judged = judge(docs.toDF(*names), names, at[host], at[text], max_host_rate).filter("kept")
-    return judged.select(*(F.col(v).alias(k) for k, v in at.items()))
+    """The rows that :func:`judge` keeps, with the columns of the input.
+
+    What is judged and written is a digest and counts per row; texts that go are few, and are taken out by an anti join
+    on text digest and host, which is broadcast only while it is small.
+    """
+    digest = F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
+    held = docs.select(docs[host].alias("source"), docs[text].alias("text"), digest.alias("digest"))
+    judged = judge(held, ["digest"], max_host_rate=max_host_rate).filter(~F.col("kept"))
+    gone = materialize(judged.select(F.col("digest").alias(PREFIX + "d"), F.col("host").alias(PREFIX + "h")).distinct(), "rejected")
+    return docs.join(sized(gone), (digest == F.col(PREFIX + "d")) & docs[host].eqNullSafe(F.col(PREFIX + "h")), "left_anti")
