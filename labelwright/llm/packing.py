@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Entries of a generation of a worker's caches; each cache holds two generations at most.
-CACHE = 250_000
+CACHE = 120_000
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group_id long"
 
@@ -36,7 +36,8 @@ class Aging(dict):
         if (out := self.old.get(key)) is None:
             out = self.make(key)
         if len(self) >= CACHE:
-            self.old = dict(self)
+            self.old.clear()
+            self.old.update(self)
             self.clear()
         self[key] = out
         return out
