@@ -120,4 +120,4 @@ def evaluate(df, fields: str = "fields", is_food: Column | bool = True, evidence
 
 def violations(evaluated, *keys: str):
     """A row per rule and evaluated row, passes included."""
-    return evaluated.select(*keys, F.explode("results").alias("__r")).select(*keys, "__r.*")
+    return evaluated.select(*keys, F.explode(once(F.col("results"))).alias("__r")).select(*keys, "__r.*")

@@ -113,16 +113,17 @@ def trend(inspections: DataFrame, limit: int = 30, newest: bool = False) -> Data
 def progress(inspections: DataFrame, users: DataFrame) -> DataFrame:
     """A4, JN5: each inspector's and admin's totals, rate, mean score and last inspection; zeros without any.
 
-    Rows are summed by owner before they meet the users.
+    Rows are summed by owner before they meet the users. Scores have one decimal, so their tenths are summed as whole
+    numbers and the mean's half goes up, whatever the order of the rows.
     """
     per = inspections.groupBy("inspector_id").agg(
-        F.count(F.lit(1)).alias("t"), F.count_if(F.col("overall_status") == "Compliant").alias("c"), F.count_if(F.col("overall_status") == "Non-Compliant").alias("n"), F.sum(F.col("compliance_score").cast("decimal(20,6)")).cast("double").alias("s"), F.max("created_at").alias("last_inspection_at")
+        F.count(F.lit(1)).alias("t"), F.count_if(F.col("overall_status") == "Compliant").alias("c"), F.count_if(F.col("overall_status") == "Non-Compliant").alias("n"), F.sum(F.round(F.col("compliance_score") * 10).cast("long")).alias("s"), F.max("created_at").alias("last_inspection_at")
     )
     out = team(users).join(per, F.col("id") == F.col("inspector_id"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     return out.select(
         "id", "name", "email", "role", zero("t").alias("total_inspections"), zero("c").alias("compliant_count"), zero("n").alias("non_compliant_count"),
-        F.coalesce(_rate(F.col("c"), F.col("t")), F.lit(0.0)).alias("compliance_rate"), F.coalesce(F.round(F.col("s") / F.col("t"), 1), F.lit(0.0)).alias("avg_score"), "last_inspection_at",
+        F.coalesce(_rate(F.col("c"), F.col("t")), F.lit(0.0)).alias("compliance_rate"), F.coalesce(F.expr("(2 * s + t) div (2 * t)") / 10.0, F.lit(0.0)).alias("avg_score"), "last_inspection_at",
     )
 
 

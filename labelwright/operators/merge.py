@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.functions.extract import FIELDS
-from labelwright.functions.text import compared, let, strip, title
+from labelwright.functions.text import compared, let, once, strip, title
 from labelwright.functions.vision import rank
 
 #: Names of views without one.
@@ -82,7 +82,7 @@ def merge_views(views: DataFrame, product: str = "product_id", fields: str = "fi
 def field_rows(merged: DataFrame, product: str = "product_id") -> DataFrame:
     """A row per product and field of a merge."""
     rows = F.array(*(F.struct(F.lit(n).alias("field"), F.col("fields")[n].alias("f")) for n in FIELDS))
-    return merged.select(product, F.inline(rows)).select(product, "field", "f.*")
+    return merged.select(product, F.inline(once(rows))).select(product, "field", "f.*")
 
 
 def joined_text(views: DataFrame, product: str = "product_id", text: str = "text", marker: str = "\n\n--- {} ---\n\n") -> DataFrame:

@@ -84,7 +84,7 @@ def extracted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven fields of every label."""
     found = extract.extract_fields(labels.labels(spark, sf_dir))
     rows = F.array(*(F.struct(F.lit(n).alias("field"), F.col("fields")[n]["value"].alias("value"), F.col("fields")[n]["status"].alias("status")) for n in extract.FIELDS))
-    return found.select("product_id", F.inline(rows))
+    return found.select("product_id", F.inline(text.once(rows)))
 
 
 @query(RULE_TRUTH + "SELECT k AS product_id, rule_code, status, value AS detected_value FROM r")
@@ -326,7 +326,7 @@ WITH a AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'INS 322' WHEN
 @query(ADDITIVE_TRUTH + "SELECT k AS product_id, identifier, risk_level, recognized FROM a")
 def decoded_additives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5, JN6, JN7."""
-    rows = profile.profile(labels.compositions(spark, sf_dir)).select("product_id", F.explode("additives").alias("a"))
+    rows = profile.profile(labels.compositions(spark, sf_dir)).select("product_id", F.explode(text.once(F.col("additives"))).alias("a"))
     return rows.select("product_id", "a.identifier", "a.risk_level", "a.recognized")
 
 
@@ -358,7 +358,7 @@ def ingredient_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def detected_allergens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K6, JN8."""
-    rows = profile.profile(labels.compositions(spark, sf_dir)).select("product_id", F.explode("allergens").alias("a"))
+    rows = profile.profile(labels.compositions(spark, sf_dir)).select("product_id", F.explode(text.once(F.col("allergens"))).alias("a"))
     return rows.select("product_id", "a.allergen", "a.trigger_keyword", "a.is_explicit")
 
 
@@ -402,7 +402,7 @@ def engine_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1, M6, M7, JN12: vision and local fields of every product."""
     local = extract.extract_fields(labels.labels(spark, sf_dir)).select("product_id", F.col("fields").alias("local"))
     answers = _answers(spark, sf_dir).select("product_id", vision.adapt(F.from_json(vision.fenced_json(F.col("answer")), vision.ANSWER)).alias("vision"))
-    both = local.join(answers, "product_id").select("product_id", F.inline(vision.consensus(F.col("vision"), F.col("local"))))
+    both = local.join(answers, "product_id").select("product_id", F.inline(text.once(vision.consensus(F.col("vision"), F.col("local")))))
     return both.select("product_id", "field", "consensus")
 
 
@@ -511,7 +511,7 @@ def video_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("vec_id")
     rows = e.select(F.col("label").cast("long").alias("video_id"), k.alias("frame_num"), (k % 90).cast("double").alias("sharpness"), (k % 250).cast("double").alias("brightness"), (k % 50).cast("double").alias("contrast"), F.lit(0.05).alias("edge_density"), F.col("embedding").cast("array<double>").alias("histogram"))
     found = frames.keyframes(rows)
-    return found.select("video_id", "frames_sampled", "frames_discarded", F.explode("keyframes").alias("k")).select("video_id", "frames_sampled", "frames_discarded", "k.*")
+    return found.select("video_id", "frames_sampled", "frames_discarded", F.explode(text.once(F.col("keyframes"))).alias("k")).select("video_id", "frames_sampled", "frames_discarded", "k.*")
 
 
 @query(
@@ -705,7 +705,7 @@ def dashboard_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     FACTS
     + """SELECT u.id, name, email, role, count(i.id) AS total_inspections, coalesce(sum((overall_status = 'Compliant')::INT), 0)::BIGINT AS compliant_count, coalesce(sum((overall_status = 'Non-Compliant')::INT), 0)::BIGINT AS non_compliant_count,
-    coalesce(round(sum((overall_status = 'Compliant')::INT) / nullif(count(i.id), 0) * 100, 1), 0) AS compliance_rate, coalesce(round(sum(compliance_score::DECIMAL(20, 6))::DOUBLE / nullif(count(i.id), 0), 1), 0) AS avg_score, max(created_at) AS last_inspection_at
+    coalesce(round(sum((overall_status = 'Compliant')::INT) / nullif(count(i.id), 0) * 100, 1), 0) AS compliance_rate, CASE WHEN count(i.id) = 0 THEN 0.0 ELSE ((2 * sum(round(compliance_score * 10)::BIGINT) + count(i.id)) // (2 * count(i.id))) / 10 END::DOUBLE AS avg_score, max(created_at) AS last_inspection_at
     FROM users u LEFT JOIN inspections i ON i.inspector_id = u.id WHERE role IN ('inspector', 'admin') GROUP BY 1, 2, 3, 4"""
 )
 def inspector_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
