@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -63,6 +65,47 @@ def ship(spark: SparkSession) -> None:
     sc._labelwright_shipped = True
 
 
+_tenant: list[tuple[str, Callable[[], None]]] = []
+
+
+def _give_back() -> None:
+    """Returns freed memory of this process to the system, where its allocators can."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def lodged(name: str, clear: Callable[[], None], run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` of a Python worker that other operators use in turn.
+
+    A worker outlives its tasks; what an operator caches in it is cleared when a task of another operator comes, and
+    freed memory goes back to the system after each task. So operators that follow each other don't add up.
+    """
+
+    def task(batches: Iterator) -> Iterator:
+        _enter(name, clear)
+        try:
+            yield from run(batches)
+        finally:
+            _give_back()
+
+    return task
+
+
+def _enter(name: str, clear: Callable[[], None]) -> None:
+    if _tenant and _tenant[0][0] != name:
+        _tenant[0][1]()
+        gc.collect()
+        _give_back()
+    _tenant[:] = [(name, clear)]
+
+
+def nothing() -> None:
+    """Clears nothing."""
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lodged, ship
 
 SCHEMA = "doc_id long, item_id long, edits int, start long, end long"
 
@@ -111,6 +111,11 @@ def _block(items: tuple[tuple[int, str], ...], rate: float, min_piece: int) -> I
     return Items(items, rate, min_piece)
 
 
+def forget() -> None:
+    """Drops a worker's automata."""
+    _block.cache_clear()
+
+
 def blocks(benchmark: DataFrame, block_chars: int, item_id: str, text: str) -> Iterator[tuple[tuple[int, str], ...]]:
     """The items in blocks of at most ``block_chars`` characters (or one item), streamed through the driver."""
     block: list[tuple[int, str]] = []
@@ -148,6 +153,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        part = held.mapInArrow(run, SCHEMA)
+        part = held.mapInArrow(lodged("decontaminate", forget, run), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], SCHEMA)

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship
+from .common import lodged, ship
 
 #: Entries of a generation of a worker's caches; each cache holds two generations at most.
 CACHE = 120_000
@@ -98,6 +98,11 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def forget() -> None:
+    """Drops a worker's tokenizers and their caches."""
+    _encoders.clear()
+
+
 def _mix(x: int) -> int:
     """SplitMix64's finaliser."""
     x = (x + 0x9E3779B97F4A7C15) & (1 << 64) - 1
@@ -130,7 +135,7 @@ def pieces(docs: DataFrame, vocabulary: str, n_groups: int, capacity: int = 2048
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
 
     held = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("binary").alias("text"))
-    return held.mapInArrow(run, PIECE + ", ids array<int>" * with_ids)
+    return held.mapInArrow(lodged("packing", forget, run), PIECE + ", ids array<int>" * with_ids)
 
 
 class Bins:
