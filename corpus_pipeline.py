@@ -20,8 +20,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines spread over sites leave the texts; n_chars follows the text, and every document stays."""
-    cut = linedup.dedup_lines(docs, total_as="__line_total", removed_as="__line_removed")
+    """Lines spread over sites leave every text that has a line of its own; n_chars follows the text, every document stays."""
+    cut = linedup.dedup_lines(docs, max_share=None, total_as="__line_total", removed_as="__line_removed")
     length = F.when(F.col("__line_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.select(*(length.alias(c) if c == "n_chars" else c for c in docs.columns))
 

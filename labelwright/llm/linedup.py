@@ -46,13 +46,14 @@ def spread_lines(lines: DataFrame, min_sites: int = 10, lg_k: int = 12, margin:
     return out
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = 10, max_share: float = 0.5, total_as: str = "line_total", removed_as: str = "line_removed") -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = 10, max_share: float | None = 0.5, total_as: str = "line_total", removed_as: str = "line_removed") -> DataFrame:
     """The rows with boilerplate lines taken out of the text, and line_total, line_removed (lines that have a word).
 
     A line is boilerplate if it stands on at least ``min_sites`` distinct sites. A text of which boilerplate would take
-    more than ``max_share`` of the words is a copy of a spread document rather than a page with boilerplate: it keeps
-    all its lines and is left to near-duplicate removal. Lines are compared as they are; blank lines stay. Null texts
-    stay null and count no lines; repeated rows are treated alike; other columns pass through, but for those that
+    more than ``max_share`` of the words keeps all its lines, own ones or not, copy or not. With a ``max_share`` of None
+    boilerplate goes whatever its share, and only a text without a line of its own keeps its lines: every one of them
+    stands elsewhere, so near-duplicate removal decides about it. Lines are compared as they are; blank lines stay. Null
+    texts stay null and count no lines; repeated rows are treated alike; other columns pass through, but for those that
     have the names of the two counts; an empty table gives no rows.
     """
     lines = materialize(line_table(docs, site, text), "lines")
@@ -65,7 +66,9 @@ def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_s
     rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(POS), i)), "\n")
     total = F.when(F.col(POS).isNotNull(), _n_words(F.col(text)))
     cut = joined.withColumn(PREFIX + "rest", F.when(F.col(POS).isNotNull(), rest))
-    cut = cut.withColumn(PREFIX + "cut", F.coalesce(total - _n_words(F.col(PREFIX + "rest")) <= F.lit(max_share) * total, F.lit(False)))
+    left = _n_words(F.col(PREFIX + "rest"))
+    goes = left > 0 if max_share is None else total - left <= F.lit(max_share) * total
+    cut = cut.withColumn(PREFIX + "cut", F.coalesce(goes, F.lit(False)))
     n_lines = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(NOT_SPACE))), F.lit(0)).cast("long")
     out = {c: F.when(F.col(PREFIX + "cut"), F.col(PREFIX + "rest")).otherwise(F.col(c)) if c == text else F.col(c) for c in docs.columns if c not in (total_as, removed_as)}
     return cut.select(

@@ -18,3 +18,11 @@ def test_stages(spark, tmp_path):
         assert now.columns == docs.columns and {r["doc_id"] for r in now.select("doc_id").collect()} == ids and now.count() == len(ids)
     assert {r["text"].split("\n")[0] for r in now.filter("doc_id < 20").collect()} == set(other)
     assert {r["doc_id"] for r in cp.run(spark, str(tmp_path)).collect()} == left[-1]
+
+
+def test_boilerplate_goes_whatever_its_share(spark, tmp_path):
+    menu = " ".join(f"menu{j}" for j in range(20))
+    rows = [(i, f"{menu}\nown{i} line", "en", f"s{i}", 1) for i in range(12)] + [(50, f"{menu}\n", "en", "s1", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.line_dedup(spark, docs, str(tmp_path)).collect()}
+    assert got == {i: (f"own{i} line", len(f"own{i} line")) for i in range(12)} | {50: (f"{menu}\n", 1)}
