@@ -190,3 +190,23 @@ def test_quotes(spark):
     assert (got[1, 2]["text"], got[1, 2]["parent_turn"], got[1, 2]["thread_turn"], got[1, 2]["reply_level"], got[1, 2]["quote_levels"], got[1, 2]["n_linked"]) == ("Thanks!", 1, 0, 2, 2, 2)
     assert got[1, 3]["parent_turn"] is None and got[1, 3]["text"] == "What?" and got[2, 0]["text"] is None and got[3, 1]["parent_turn"] is None
     assert quotes.link_quotes(df).count() == len(rows) and quotes.link_quotes(df.limit(0)).count() == 0
+
+
+def test_threshold_pairs_in_crowded_buckets(spark):
+    # Any two sets agree in a third of their tokens, so buckets are crowded; only the pairs agree in 51 of 64.
+    rng, rows = np.random.default_rng(8), []
+    for i in range(600):
+        a = rng.integers(0, 3, jaccard_join.TOKENS) * 7919 + np.arange(jaccard_join.TOKENS)
+        b = a.copy()
+        b[rng.choice(jaccard_join.TOKENS, 13, replace=False)] = 1_000_000 + i * 64 + np.arange(13)
+        rows += [(2 * i, 100, bytearray(a.astype("<u4").tobytes())), (2 * i + 1, 100, bytearray(b.astype("<u4").tobytes()))]
+    sets = spark.createDataFrame(rows, "sid long, n long, sig binary")
+    links = {(r["u"], r["v"]) for r in jaccard_join.candidates(sets, 0.8, 0.99, 12, 6, 0.16).collect()}
+    assert len({u // 2 for u, v in links if u ^ v == 1}) >= 0.99 * 600
+
+
+def test_runs_cover_the_deepest_level():
+    for depth in (3, 4, 6, 9):
+        runs, more = jaccard_join.split_runs(0.99, 0.8, depth)
+        near, far = (1 - jaccard_join.meeting_probability(0.8, min(d, depth)) for d in (3, depth))
+        assert near**runs + (far**runs - near**runs) * far**more <= 0.01
