@@ -15,7 +15,7 @@ from labelwright.llm.queries import word_vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a base rule, or whose host does, go."""
+    """Documents that fail a base rule go, as do those of hosts most of whose documents fail any rule."""
     return quality.kept_documents(docs)
 
 

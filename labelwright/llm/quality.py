@@ -8,6 +8,9 @@ shuffle, and the join back is a plain equi-join that Spark may broadcast by meas
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -81,50 +84,50 @@ def rule_flags(max_symbol_ratio: float = 0.5, max_dup_lines: float = 0.3) -> dic
     }
 
 
-def host_rates(scored: DataFrame, host: str = "host") -> DataFrame:
-    """host, n, failed, rate: each host's share of base failures, shrunk to the hosts' own prior.
+def host_rates(scored: DataFrame, host: str = "host", failed: str = "base_failed") -> DataFrame:
+    """host, n, failed, rate: each host's share of failures, shrunk to the hosts' own prior.
 
     Prior: beta(mean * strength, (1 - mean) * strength), strength = mean (1 - mean) / variance of the rates over hosts
     - 1, held between 1 and 10,000. A host with few rows so keeps near the mean, and one bad page condemns no host.
     """
-    hosts = scored.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    hosts = scored.groupBy(host).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(failed).cast("long")).alias("failed"))
     p = hosts.agg(F.sum("failed").alias("f"), F.sum("n").alias("n"), F.var_pop(F.col("failed") / F.col("n")).alias("v")).first()
     mean = (p["f"] or 0) / p["n"] if p["n"] else 0.0
     strength = min(10_000.0, max(1.0, mean * (1 - mean) / p["v"] - 1)) if p["v"] else 10_000.0
     return hosts.withColumn("rate", (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
 
 
-def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", max_host_rate: float = 0.5) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", max_host_rate: float = 0.5, host_rules: tuple[str, ...] = ("short", "repeats")) -> DataFrame:
     """Every row's kept columns, counts, rule flags, base_failed, host_rate, host_rejected and kept.
 
-    A document goes if it fails a base rule, or if its host's shrunken failure rate is over ``max_host_rate``. Null
-    hosts are one host. A null or empty text has no words and fails as short. Repeated rows are judged each. Extra
+    A document goes if it fails a base rule, or if its host's shrunken failure rate is over ``max_host_rate``; a
+    document counts as its host's failure if it fails any of ``host_rules``, by default the base rules. Null hosts are one host. A null or empty text has no words and fails as short. Repeated rows are judged each. Extra
     columns are left alone. An empty table gives no rows.
     """
     names = {k: f"{PREFIX}k{i}" for i, k in enumerate(keep)}
     held = docs.select(*(docs[k].alias(v) for k, v in names.items()), docs[host].alias(PREFIX + "host"), docs[text].alias(PREFIX + "text"))
     counted = with_counts(held, [*names.values(), PREFIX + "host"], PREFIX + "text").withColumnRenamed(PREFIX + "host", "host")
     flags = rule_flags()
-    scored = counted.select("*", *(v.alias(f"fails_{k}") for k, v in flags.items()), (flags["short"] | flags["repeats"]).alias("base_failed"))
+    scored = counted.select("*", *(v.alias(f"fails_{k}") for k, v in flags.items()), (flags["short"] | flags["repeats"]).alias("base_failed"), functools.reduce(operator.or_, (flags[k] for k in host_rules)).alias(PREFIX + "host_failed"))
     scored = materialize(scored, "quality")
     # Written, so that its size is known: Spark broadcasts it only below its own threshold.
-    rates = materialize(host_rates(scored).select(F.col("host").alias(PREFIX + "h"), F.col("rate").alias("host_rate")), "host-rates")
+    rates = materialize(host_rates(scored, failed=PREFIX + "host_failed").select(F.col("host").alias(PREFIX + "h"), F.col("rate").alias("host_rate")), "host-rates")
     out = scored.join(rates, F.col("host").eqNullSafe(F.col(PREFIX + "h")), "left").drop(PREFIX + "h")
     out = out.withColumn("host_rejected", F.coalesce(F.col("host_rate") > max_host_rate, F.lit(False)))
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_rejected"))
-    own = set(names.values())
+    own = {*names.values(), PREFIX + "host_failed"}
     taken = [c for c in out.columns if c not in own]
     return out.select(*(F.col(v).alias(k if k not in taken else f"doc_{k}") for k, v in names.items()), *taken)
 
 
 def kept_documents(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = 0.5) -> DataFrame:
-    """The rows that :func:`judge` keeps, with the columns of the input.
+    """The rows that :func:`judge` keeps if a failure of any rule counts against the host, with the columns of the input.
 
     What is judged and written is a digest and counts per row; texts that go are few, and are taken out by an anti join
     on text digest and host, which is broadcast only while it is small.
     """
     digest = F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
     held = docs.select(docs[host].alias("source"), docs[text].alias("text"), digest.alias("digest"))
-    judged = judge(held, ["digest"], max_host_rate=max_host_rate).filter(~F.col("kept"))
+    judged = judge(held, ["digest"], max_host_rate=max_host_rate, host_rules=tuple(rule_flags())).filter(~F.col("kept"))
     gone = materialize(judged.select(F.col("digest").alias(PREFIX + "d"), F.col("host").alias(PREFIX + "h")).distinct(), "rejected")
     return docs.join(sized(gone), (digest == F.col(PREFIX + "d")) & docs[host].eqNullSafe(F.col(PREFIX + "h")), "left_anti")

@@ -210,3 +210,12 @@ def test_runs_cover_the_deepest_level():
         runs, more = jaccard_join.split_runs(0.99, 0.8, depth)
         near, far = (1 - jaccard_join.meeting_probability(0.8, min(d, depth)) for d in (3, depth))
         assert near**runs + (far**runs - near**runs) * far**more <= 0.01
+
+
+def test_hosts_of_symbols_or_repeated_lines_go(spark):
+    rows = [(i, f"{i} " + BASE, f"good{i % 4}") for i in range(80)]
+    rows += [(200 + i, " ".join(f"$#{i}x{j}" for j in range(30)), "symbols") for i in range(40)]
+    rows += [(300 + i, "menu\nmenu\nmenu\n" + " ".join(f"{i}x{j}" for j in range(30)), "lines") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert not quality.judge(docs, ["doc_id"]).filter("base_failed").count()
+    assert {r["doc_id"] for r in quality.kept_documents(docs).collect()} == set(range(80))
