@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ship
+from .decontaminate import myers
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -93,7 +94,8 @@ class Scanner:
         for i, spans in self.windows(norm).items():
             n, label, k = self.notices[i]
             for a, b in spans:
-                while m := self.verify[i](norm, a, b):
+                # The distance is cheap; most windows hold a piece by chance and end here.
+                while myers(n, norm[a:b])[0] <= k and (m := self.verify[i](norm, a, b)):
                     out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(n)))
                     a = max(m.end(), a + 1)
         return out
@@ -124,7 +126,7 @@ def scan_text(text: bytes | None, scan: Scanner) -> tuple:
     return len(words), len(base), min(firsts, default=None), max(firsts, default=None), ",".join(base_labels), ",".join(sorted({*base_labels, *(x[0] for x in fuzzy)})), score, spans
 
 
-def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, error_rate: float = 0.12, min_piece: int = 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, error_rate: float = 0.12, min_piece: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row: words, exact phrase places, labels of phrases and verified notices, score, spans of the notices.
 
     A null text is empty: no words, no labels, score 0. The score is 1 for an exact phrase, else 1 - errors / length of
@@ -132,7 +134,7 @@ def scan_licenses(docs: DataFrame, notices: dict[str, str] = NOTICES, error_rate
     are ignored; an empty table gives no rows. No row meets another: there is no shuffle.
     """
     ship(docs.sparkSession)
-    #: A notice of n characters may differ by min(error_rate * n, n / min_piece - 1) edits, one at least.
+    #: A notice of n characters may differ by error_rate * n edits, one at least; a min_piece over 1 / error_rate lowers that to n / min_piece - 1.
     fixed = tuple(notices.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import collections
 import datetime as dt
+import inspect
 import random
 
 import numpy as np
@@ -124,3 +125,22 @@ def test_codewords():
         c = langid.codewords(n)
         assert len({tuple(r) for r in c}) == n and (np.abs(c.sum(0)) < n).all()
     assert langid.features("123 !!") is None and abs(langid.features("abc é").sum() - 1) < 1e-9
+
+
+def test_notices_are_found_at_their_full_budget():
+    seen = []
+    rnd = random.Random(4)
+    defaults = inspect.signature(license_scan.scan_licenses).parameters
+    scan = license_scan.scanner(tuple(license_scan.NOTICES.items()), defaults["error_rate"].default, defaults["min_piece"].default)
+    for n, label, k in scan.notices:
+        assert k == int(0.12 * len(n))
+        for _ in range(40):
+            s = list(n)
+            # Spread over the notice and unlike its letters, so that the distance is k.
+            for i in range(k):
+                at = rnd.randrange(i * len(n) // k, (i + 1) * len(n) // k)
+                s[at] = "7"
+            s = "".join(s)
+            got = [x for x in scan.matches(f" some words {s} and more ") if x[0] == label and x[4] == len(n)]
+            seen.append(bool(got) and got[0][3] <= k)
+    assert all(seen), sum(seen) / len(seen)
