@@ -71,28 +71,32 @@ def _units(bodies: Column) -> Column:
 
 
 def quote_links(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """conv, turn, depth, original: which earlier turn of the conversation the passages of a quote level come from.
+    """c, t, d, passage, depth, original, w: which earlier turn of the conversation each passage comes from; d is the
+    digest of its message's text, w the matched words.
 
     Units match by digest; the original with most matched words wins, of equals the latest.
     """
     held = messages.select(messages[conv].alias("c"), messages[turn].alias("t"), messages[text].alias("x")).filter(F.col("c").isNotNull() & F.col("t").isNotNull() & F.col("x").isNotNull())
     quoting = materialize(held.filter(F.col("x").rlike(r"(^|\n)[ \t]*>")), "quoting")
     digest = lambda u: F.unhex(F.md5(u.cast("binary")))
-    passages = quoting.select("c", "t", F.explode(_passages(F.col("x"))).alias("p"))
-    units = passages.select("c", "t", F.col("p.depth").alias("depth"), F.explode(_units(F.col("p.bodies"))).alias("u")).select("c", "t", "depth", digest(F.col("u")).alias("h"), F.size(F.split("u", " ")).alias("w"))
+    passages = quoting.select("c", "t", F.md5(F.col("x").cast("binary")).alias("d"), F.posexplode(_passages(F.col("x"))).alias("passage", "p"))
+    place = ("c", "t", "d", "passage", "depth")
+    units = passages.select("c", "t", "d", "passage", F.col("p.depth").alias("depth"), F.explode(_units(F.col("p.bodies"))).alias("u")).select(*place, digest(F.col("u")).alias("h"), F.size(F.split("u", " ")).alias("w"))
     said = held.join(quoting.select("c").distinct(), "c", "left_semi").select("c", "t", F.explode(_units(F.split(_own_text(F.col("x")), "\n"))).alias("u"))
     first = said.groupBy("c", digest(F.col("u")).alias("h")).agg(F.min("t").alias("original"))
     found = units.join(first, ["c", "h"]).filter(F.col("original") < F.col("t"))
-    votes = found.groupBy("c", "t", "depth", "original").agg(F.sum("w").alias("w"))
-    return votes.groupBy("c", "t", "depth").agg(F.max(F.struct("w", "original")).alias("b")).select("c", "t", "depth", F.col("b.original").alias("original"))
+    votes = found.groupBy(*place, "original").agg(F.sum("w").alias("w"))
+    return votes.groupBy(*place).agg(F.max(F.struct("w", "original")).alias("b")).select(*place, F.col("b.original").alias("original"), F.col("b.w").alias("w"))
 
 
 def threads(links: DataFrame) -> DataFrame:
     """c, t, parent, thread, level: the turn replied to, the turn that the chain of replies began with, the steps to it.
 
-    The parent is the original of the least deep linked level. Pointers double each round.
+    The parent is the original of the least deep linked level, there the one with most words over its passages, of equals
+    the latest. Pointers double each round.
     """
-    up = materialize(links.groupBy("c", "t").agg(F.min(F.struct("depth", "original")).alias("b")).select("c", "t", F.col("b.original").alias("parent"), F.col("b.original").alias("up"), F.lit(1).cast("long").alias("level")), "threads")
+    level = links.groupBy("c", "t", "depth", "original").agg(F.sum("w").alias("w"))
+    up = materialize(level.groupBy("c", "t").agg(F.max(F.struct((-F.col("depth")).alias("depth"), "w", "original")).alias("b")).select("c", "t", F.col("b.original").alias("parent"), F.col("b.original").alias("up"), F.lit(1).cast("long").alias("level")), "threads")
     while True:
         above = up.select("c", F.col("t").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
         if up.join(above, ["c", "up"], "left_semi").isEmpty():
@@ -102,7 +106,7 @@ def threads(links: DataFrame) -> DataFrame:
 
 
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """Every message with its text without quotes, quote_levels, n_passages, n_linked (levels whose original is known),
+    """Every message with its text without quotes, quote_levels, n_passages, n_linked (passages whose original is known),
     parent_turn, thread_turn and reply_level, in reply order: by conversation, thread, level, turn.
 
     A message that quotes nothing known begins a thread of its own: no parent, its own turn, level 0. Null texts stay
@@ -110,7 +114,8 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     columns pass through; an empty table gives no rows.
     """
     links = materialize(quote_links(messages, conv, turn, text), "quote-links")
-    per = threads(links).join(links.groupBy("c", "t").count().withColumnRenamed("count", "n"), ["c", "t"])
+    counts = links.groupBy("c", "t", "d").count().groupBy("c", "t").agg(F.map_from_entries(F.collect_list(F.struct("d", "count"))).alias("n"))
+    per = threads(links).join(counts, ["c", "t"])
     per = per.select(*(F.col(k).alias(PREFIX + k) for k in ("c", "t", "parent", "thread", "level", "n")))
     out = messages.join(per, (messages[conv] == F.col(PREFIX + "c")) & (messages[turn] == F.col(PREFIX + "t")), "left")
     quoted = F.coalesce(messages[text].rlike(r"(^|\n)[ \t]*>"), F.lit(False))
@@ -119,7 +124,7 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         *((F.when(quoted, _own_text(messages[text])).otherwise(messages[text]).alias(c) if c == text else messages[c]) for c in messages.columns if c not in NEW),
         F.when(quoted, F.array_max(depths)).otherwise(0).cast("long").alias("quote_levels"),
         F.when(quoted, F.size(depths)).otherwise(0).cast("long").alias("n_passages"),
-        F.coalesce(PREFIX + "n", F.lit(0)).cast("long").alias("n_linked"),
+        F.coalesce(F.try_element_at(F.col(PREFIX + "n"), F.md5(messages[text].cast("binary"))), F.lit(0)).cast("long").alias("n_linked"),
         F.col(PREFIX + "parent").alias("parent_turn"),
         F.coalesce(F.col(PREFIX + "thread"), messages[turn]).alias("thread_turn"),
         F.coalesce(PREFIX + "level", F.lit(0)).cast("long").alias("reply_level"),

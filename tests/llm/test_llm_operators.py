@@ -219,3 +219,12 @@ def test_hosts_of_symbols_or_repeated_lines_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert not quality.judge(docs, ["doc_id"]).filter("base_failed").count()
     assert {r["doc_id"] for r in quality.kept_documents(docs).collect()} == set(range(80))
+
+
+def test_each_passage_has_its_own_original(spark):
+    rows = [(1, i, f"question number {i} stands here") for i in range(5)]
+    rows += [(1, 5, "> question number 1 stands here\nyes\n> question number 4 stands here\nno\n> never said\nwhat"), (1, 5, "> question number 2 stands here\nyes")]
+    got = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).filter("turn = 5").orderBy("n_passages").collect()
+    assert [(r["n_passages"], r["n_linked"], r["parent_turn"], r["reply_level"]) for r in got] == [(1, 1, 4, 1), (3, 2, 4, 1)]
+    links = quotes.quote_links(spark.createDataFrame(rows[:6], "conv_id long, turn long, text string"))
+    assert sorted(r["original"] for r in links.collect()) == [1, 4]
