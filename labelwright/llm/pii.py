@@ -220,6 +220,14 @@ def _free(taken: list[tuple[int, int]], a: int, b: int) -> bool:
     return i == 0 or taken[i - 1][1] <= a
 
 
+def _matches(pattern: re.Pattern, m: re.Match) -> Iterator[re.Match]:
+    """The match, then the pattern's matches from the same start to the ends of its earlier groups, longest first."""
+    yield m
+    for end in range(m.end() - 1, m.start(), -1):
+        if m.string[end] in " -" and (shorter := pattern.fullmatch(m.string, m.start(), end)):
+            yield shorter
+
+
 def _near(text: str) -> str:
     """Kinds that can't occur are left out by a character they all need."""
     return "".join(c for c in "@+=:" if c in text)
@@ -236,10 +244,14 @@ def pseudonymise(text: str, key: bytes, sign: int = 1) -> tuple[str, list[tuple[
     for kind, pattern, replace in _PATTERNS:
         if kind == "email" and "@" not in signs or kind == "secret" and not ("=" in signs or ":" in signs) or kind not in ("email", "secret", "access") and not digits or replace is _abroad and "+" not in signs or kind == "access" and "AKIA" not in text and "ASIA" not in text:
             continue
-        own = []
-        for m in pattern.finditer(text):
-            if _free(taken, m.start(), m.end()) and (new := replace(m, key, sign)) is not None:
-                own.append((m.start(), m.end(), kind, new))
+        own, at = [], 0
+        while whole := pattern.search(text, at):
+            at = whole.start() + 1
+            for m in _matches(pattern, whole) if kind in ("card", "iban") else (whole,):
+                if _free(taken, m.start(), m.end()) and (new := replace(m, key, sign)) is not None:
+                    own.append((m.start(), m.end(), kind, new))
+                    at = m.end()
+                    break
         found += own
         taken = sorted([*taken, *(x[:2] for x in own)])
     if not found:

@@ -144,3 +144,12 @@ def test_notices_are_found_at_their_full_budget():
             got = [x for x in scan.matches(f" some words {s} and more ") if x[0] == label and x[4] == len(n)]
             seen.append(bool(got) and got[0][3] <= k)
     assert all(seen), sum(seen) / len(seen)
+
+
+def test_numbers_followed_or_preceded_by_others_are_found():
+    iban, card = "DE89 3704 0044 0532 0130 00", "4111 1111 1111 1111"
+    for value, kind, texts in ((iban, "iban", ("%s EUR", "%s EUR 500 OK", "AB12 %s X")), (card, "card", ("%s 123", "%s 12/27", "%s-123", "12 %s", "%s 12/27/2024"))):
+        for t in texts:
+            text = t % value
+            new, spans = pii.pseudonymise(text, b"key")
+            assert (kind, text.index(value), text.index(value) + len(value)) in spans and value not in new
