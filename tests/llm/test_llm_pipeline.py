@@ -26,3 +26,18 @@ def test_boilerplate_goes_whatever_its_share(spark, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.line_dedup(spark, docs, str(tmp_path)).collect()}
     assert got == {i: (f"own{i} line", len(f"own{i} line")) for i in range(12)} | {50: (f"{menu}\n", 1)}
+
+
+def test_null_ids_are_judged_by_their_texts(spark, tmp_path):
+    item = " ".join(f"q{i}" for i in range(30))
+    alone = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, BASE, "s"), (None, BASE, "s"), (None, BASE.replace("w30", "v"), "s"), (None, alone, "s"), (None, alone, "t"), (None, alone.replace("a0 ", "b "), "s"), (None, None, "s"), (None, " ", "s"), (None, " ", "s"), (None, f"{item} x", "s"), (2, "one two three four", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = cp.near_duplicates(spark, docs, str(tmp_path))
+    assert near.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in near.collect()]
+    assert sum(bool(t and ("a1 " in t)) for _, t in got) == 1 and got.count((None, " ")) == 2 and got.count((None, None)) == 1
+    assert (1, BASE) in got and (2, "one two three four") in got and len(got) == 7
+    left = cp.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert left.columns == docs.columns and left.count() == len(rows) - 1 and not left.filter(left.text.contains("q5")).count()
