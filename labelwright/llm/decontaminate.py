@@ -59,6 +59,17 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def merged(windows: list[tuple[int, int]]) -> list[list[int]]:
+    """The windows in order of their start, those that touch as one."""
+    out: list[list[int]] = []
+    for a, b in sorted(windows):
+        if out and a <= out[-1][1]:
+            out[-1][1] = max(b, out[-1][1])
+        else:
+            out.append([a, b])
+    return out
+
+
 class Items:
     """The automaton over the pieces of a block of items."""
 
@@ -79,18 +90,15 @@ class Items:
 
     def hits(self, norm: str) -> Iterator[tuple[int, int, int, int]]:
         """(item, edits, start, end) of each item's best place within its budget; offsets are into the normalised text."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: dict[int, list[tuple[int, int]]] = {}
         for last, (size, uses) in self.seeds.iter(norm):
             for x, at in uses:
                 _, n, k = self.items[x]
                 a = max(0, last + 1 - size - at - k)
                 b = last + 1 - size - at + len(n) + k
-                own = windows.setdefault(x, [])
-                if own and a <= own[-1][1]:
-                    own[-1][1] = max(b, own[-1][1])
-                else:
-                    own.append([a, b])
+                windows.setdefault(x, []).append((a, b))
         for x, spans in windows.items():
+            spans = merged(spans)
             item, n, k = self.items[x]
             best, grams, least = None, self.grams[x], len(n) - 3 - 4 * k
             for a, b in spans:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import ship
-from .decontaminate import myers
+from .decontaminate import merged, myers
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {
@@ -75,18 +75,14 @@ class Scanner:
 
     def windows(self, norm: str) -> dict[int, list[list[int]]]:
         """Merged candidate windows of each notice."""
-        out: dict[int, list[list[int]]] = {}
+        out: dict[int, list[tuple[int, int]]] = {}
         for end, (size, uses) in self.seeds.iter(norm):
             for i, at in uses:
                 n, _, k = self.notices[i]
                 a = max(0, end + 1 - size - at - k)
                 b = a + len(n) + 2 * k
-                own = out.setdefault(i, [])
-                if own and a <= own[-1][1]:
-                    own[-1][1] = max(b, own[-1][1])
-                else:
-                    own.append([a, b])
-        return out
+                out.setdefault(i, []).append((a, b))
+        return {i: merged(spans) for i, spans in out.items()}
 
     def matches(self, norm: str) -> list[tuple[str, int, int, int, int]]:
         """(label, start, end, errors, notice length) of every verified place, without overlaps within a notice."""

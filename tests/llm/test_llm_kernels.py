@@ -153,3 +153,15 @@ def test_numbers_followed_or_preceded_by_others_are_found():
             text = t % value
             new, spans = pii.pseudonymise(text, b"key")
             assert (kind, text.index(value), text.index(value) + len(value)) in spans and value not in new
+
+
+def test_windows_keep_the_earliest_start():
+    rnd = random.Random(6)
+    pieces = ["".join(rnd.choice("abcdefgh") for _ in range(12)) for _ in range(10)]
+    pieces[4] = pieces[0]  # The item repeats itself: its fifth piece is also a seed for a place that begins there.
+    item = "".join(pieces)
+    text = "".join(p[:6] + "z" + p[7:] for p in pieces[:4]) + "".join(pieces[4:])
+    own = decontaminate.Items(((1, item),), 0.08, 12)
+    assert [x[1:3] for x in own.hits("some words " + text)] == [(4, 11)] and edit_distance_in(item, text) == 4
+    scan = license_scan.scanner(((item, "x"),), 0.08, 12)
+    assert [x[1:4] for x in scan.matches("some words " + text)] == [(11, 131, 4)]
