@@ -113,9 +113,11 @@ def test_similar_and_forest():
             texts.append(" ".join(w))
     sets = [jaccard_join.shingles(t) for t in texts]
     n = len(sets)
-    got = jaccard_join.similar(sets, np.arange(n), np.arange(n), 0.8) | np.eye(n, dtype=bool)
+    got = jaccard_join.similar(sets, 0.8) | np.eye(n, dtype=bool)
     truth = np.array([[len(set(a.tolist()) & set(b.tolist())) >= 0.8 * len(set(a.tolist()) | set(b.tolist())) for b in sets] for a in sets])
     assert (got == truth).all()
+    every = ~np.eye(n, dtype=bool)
+    assert (jaccard_join._verified(sets, every, 0.8, 300) == truth & every).all()
     root = jaccard_join.forest(truth & ~np.eye(n, dtype=bool))
     assert all(root[i] == min(j for j in range(n) if root[j] == root[i]) for i in range(n)) and all(root[i] == root[j] for i in range(n) for j in range(n) if truth[i, j])
 
@@ -165,3 +167,15 @@ def test_windows_keep_the_earliest_start():
     assert [x[1:3] for x in own.hits("some words " + text)] == [(4, 11)] and edit_distance_in(item, text) == 4
     scan = license_scan.scanner(((item, "x"),), 0.08, 12)
     assert [x[1:4] for x in scan.matches("some words " + text)] == [(11, 131, 4)]
+
+
+def test_leaves_of_a_large_group_are_bounded_and_few():
+    def rows(n, kept):
+        rng = np.random.default_rng(3)
+        sig = np.where(rng.random((n, jaccard_join.TOKENS)) < kept, np.arange(jaccard_join.TOKENS), rng.integers(64, 256, (n, jaccard_join.TOKENS))).astype(np.uint8)
+        sizes = [len(own) for r in range(1, 9) for _, own in jaccard_join._leaves(np.uint64(r << 40), sig, 2, 0.8, 64, np.full(n, 2))]
+        assert max(sizes) <= 66
+        return sum(sizes) / n / 8
+
+    # A group of eight times the size would make eight times the rows for each set if pairs made them.
+    assert all(rows(2400, kept) <= 4 * rows(300, kept) for kept in (0.5, 0.7, 0.8))

@@ -108,6 +108,13 @@ def brute(rows):
     return sorted((k or 0, names[g] if names[g] is not None else 0, n) for (k, *_), g, n in zip(rows, group, links, strict=True))
 
 
+def test_one_id_on_two_texts_loses_only_the_copy(spark):
+    other = " ".join(f"o{i}" for i in range(40))
+    rows = [(1, BASE), (2, NEAR), (2, other), (2, other), (None, other), (None, NEAR), (3, None), (3, None)]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept.collect()) == [(1, BASE), (2, other), (3, ""), (3, "")]
+
+
 def test_near_duplicates(docs, empty):
     got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in jaccard_join.near_duplicates(docs).collect())
     assert got == brute(ROWS)
@@ -127,8 +134,11 @@ def test_dense_groups_and_blocks(spark):
         rows.append((i, " ".join(w)))
     rows += [(100 + i, " ".join(f"u{i}x{j}" for j in range(40))) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    got = jaccard_join.near_duplicates(docs, bucket=16, depth=4, block_sets=20).collect()
-    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in got) == brute(rows)
+    truth = brute(rows)
+    for params in ({}, {"bucket": 16}, {"bucket": 16, "crowded": 40, "block_words": 400}):
+        got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs, recall=0.9999, **params).collect())
+        assert [g[:2] for g in got] == [t[:2] for t in truth]
+        assert 0.995 * sum(t[2] for t in truth) <= sum(g[2] for g in got) and all(g[2] <= t[2] for g, t in zip(got, truth, strict=True))
 
 
 def test_decontamination(docs, empty, spark):
@@ -192,24 +202,36 @@ def test_quotes(spark):
     assert quotes.link_quotes(df).count() == len(rows) and quotes.link_quotes(df.limit(0)).count() == 0
 
 
-def test_threshold_pairs_in_crowded_buckets(spark):
-    # Any two sets agree in a third of their tokens, so buckets are crowded; only the pairs agree in 51 of 64.
+def _pair_recall(spark, alike, n_pairs, **params):
+    """The share of planted pairs that are found; each pair agrees in 51 of 64 tokens, any two sets in about ``alike`` of them."""
     rng, rows = np.random.default_rng(8), []
-    for i in range(600):
-        a = rng.integers(0, 3, jaccard_join.TOKENS) * 7919 + np.arange(jaccard_join.TOKENS)
+    for i in range(n_pairs):
+        a = np.where(rng.random(jaccard_join.TOKENS) < alike, 7, rng.integers(8, 256, jaccard_join.TOKENS))
         b = a.copy()
-        b[rng.choice(jaccard_join.TOKENS, 13, replace=False)] = 1_000_000 + i * 64 + np.arange(13)
-        rows += [(2 * i, 100, bytearray(a.astype("<u4").tobytes())), (2 * i + 1, 100, bytearray(b.astype("<u4").tobytes()))]
-    sets = spark.createDataFrame(rows, "sid long, n long, sig binary")
-    links = {(r["u"], r["v"]) for r in jaccard_join.candidates(sets, 0.8, 0.99, 12, 6, 0.16).collect()}
-    assert len({u // 2 for u, v in links if u ^ v == 1}) >= 0.99 * 600
+        at = rng.choice(jaccard_join.TOKENS, 13, replace=False)
+        b[at] = (b[at] + rng.integers(1, 200, 13)) % 256
+        rows += [(2 * i, 100, bytearray(a.astype(np.uint8).tobytes())), (2 * i + 1, 100, bytearray(b.astype(np.uint8).tobytes()))]
+    sets = spark.createDataFrame(rows, "sid long, n int, sig binary")
+    cells = jaccard_join._cells(sets, 0.8, 0.99, params.get("bucket", 512), 0.64, params.get("crowded", 32_768))
+    found = jaccard_join._pairs(cells, sets, 0.8, 0.64).select("sid", F.explode("partners").alias("other")).collect()
+    assert len(found) == len(set(found))
+    return len({r["sid"] // 2 for r in found if r["sid"] ^ r["other"] == 1}) / n_pairs
+
+
+def test_recall_of_isolated_pairs(spark):
+    assert _pair_recall(spark, 0.02, 2000) >= 0.99
+
+
+def test_recall_in_crowded_buckets(spark):
+    # Any two sets agree in a third of their tokens or more, so buckets are far over the size that is compared.
+    assert _pair_recall(spark, 0.6, 600, bucket=32) >= 0.99
+    assert _pair_recall(spark, 0.6, 600, bucket=32, crowded=300) >= 0.99
 
 
 def test_runs_cover_the_deepest_level():
-    for depth in (3, 4, 6, 9):
-        runs, more = jaccard_join.split_runs(0.99, 0.8, depth)
-        near, far = (1 - jaccard_join.meeting_probability(0.8, min(d, depth)) for d in (3, depth))
-        assert near**runs + (far**runs - near**runs) * far**more <= 0.01
+    runs = jaccard_join.split_runs(0.99, 0.8)
+    lost = [(1 - jaccard_join.meeting_probability(0.8, d)) ** sum(runs[: i + 1]) for i, d in enumerate(jaccard_join.LEVELS)]
+    assert sum(lost) <= 0.01
 
 
 def test_hosts_of_symbols_or_repeated_lines_go(spark):
