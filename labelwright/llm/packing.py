@@ -7,63 +7,49 @@ expected size, and groups pack independently.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import lodged, ship
 
-#: Entries of a generation of a worker's caches; each cache holds two generations at most.
-CACHE = 120_000
+#: Bytes of a generation of a worker's cache, about; two generations at most are held.
+CACHE_BYTES = 40 << 20
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, group_id long"
+NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw")
 
 
-class Aging(dict):
-    """A cache of two generations: when the young one is full it becomes the old one, and what is asked for again moves up."""
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
 
-    def __init__(self):
-        self.old: dict = {}
 
-    def __missing__(self, key):
-        if (out := self.old.get(key)) is None:
-            out = self.make(key)
-        if len(self) >= CACHE:
-            self.old.clear()
-            self.old.update(self)
-            self.clear()
-        self[key] = out
-        return out
+def windows(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The text in parts of about ``size`` bytes that end between chunks, so that a long one isn't split all at once."""
+    at = 0
+    while len(text) - at > size:
+        end = next((m.end() for m in _SPACE.finditer(text, at + size)), len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:] if at else text
 
 
-class _Words(Aging):
-    """Lower-case words of ASCII or Latin-1 letters to their ids, as little-endian bytes."""
+_SPACE = re.compile(rb"\s")
 
-    def __init__(self, tokenizer):
-        super().__init__()
-        self.tokenize = tokenizer.model.tokenize
-        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in kept]
-        self.letter = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
-
-    def make(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenize("".join([self.letter[b] for b in word.encode()]))]
-        return struct.pack(f"<{len(ids)}I", *ids)
 
+class ChunkEncoder(dict):
+    """Ids of each run of bytes between white space, as little-endian bytes; itself the cache of those of under 64 bytes.
 
-class ChunkEncoder(Aging):
-    """Ids of each run of bytes between white space, as little-endian bytes.
+    The word tokenizer drops white space, so a text's ids are its chunks' ids in order. Chunks of ASCII letters go to the
+    tokenizer's model as they are, those with a run of stops behind them as two; other chunks of printable ASCII and
+    Latin-1 letters go by the tokenizer's own word pattern first, and any other chunk goes through the whole tokenizer.
 
-    The word tokenizer drops white space, so a text's ids are its chunks' ids in order. Chunks of printable ASCII and
-    Latin-1 letters go by the tokenizer's own word pattern and its model; any other chunk goes through the whole
-    tokenizer.
+    The cache has two generations: when the young one is full it becomes the old one, and what is asked for again moves up.
     """
 
     def __init__(self, path: str):
@@ -72,20 +58,47 @@ class ChunkEncoder(Aging):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.words = _Words(self.whole)
+        self.tokenize = self.whole.model.tokenize
         self.plain = regex.compile(r"[\x21-\x7e¡-¬®-ÿ]+").fullmatch
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
+        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        rest = [b for b in range(256) if b not in kept]
+        self.letter = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
+        self.old: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        if (out := self.old.get(chunk)) is None:
+            out = self.make(chunk)
+        if len(chunk) < 64:
+            self.held += 200 + len(chunk) + len(out)
+            if self.held > CACHE_BYTES:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+            self[chunk] = out
+        return out
 
     def make(self, chunk: bytes) -> bytes:
+        low = chunk.lower()
+        if low.isalpha():
+            return self.word(low.decode())
+        body = low.rstrip(b".,;:!?")
+        if body.isalpha():
+            return self[body] + self.word(low[len(body) :].decode())
         s = chunk.decode("utf-8", "replace")
         if self.plain(s) and "<|" not in s:
-            words = self.words
-            return b"".join([words[w] if len(w) < 64 else words.make(w) for w in self.split(s.lower())])
+            return b"".join([self.word("".join([self.letter[b] for b in w.encode()])) for w in self.split(s.lower())])
         return np.array(self.whole.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
+    def word(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenize(word)]
+        return _PACK[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
+
     def ids(self, text: bytes) -> bytes:
-        """Chunks of 64 bytes and more, of which a cache could hold unbounded bytes, are encoded each time."""
-        return b"".join([self[c] if len(c) < 64 else self.make(c) for c in text.split()])
+        if len(text) <= 1 << 20:
+            return b"".join(map(self.__getitem__, text.split()))
+        return b"".join([x for part in windows(text) for x in map(self.__getitem__, part.split())])
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -103,39 +116,35 @@ def forget() -> None:
     _encoders.clear()
 
 
-def _mix(x: int) -> int:
-    """SplitMix64's finaliser."""
-    x = (x + 0x9E3779B97F4A7C15) & (1 << 64) - 1
-    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & (1 << 64) - 1
-    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & (1 << 64) - 1
-    return x ^ x >> 31
-
-
 def pieces(docs: DataFrame, vocabulary: str, n_groups: int, capacity: int = 2048, end_id: int = 1, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per piece of at most ``capacity`` ids of each row's text and end id; with_ids adds the ids themselves.
 
-    A null text is empty: the end id alone. The group is drawn from the row's place in its input partition, so
-    repeated rows and null ids spread like any others, and a retried task draws the same.
+    A null text is empty: the end id alone. The group is drawn by a hash of the id, the text and, among repeated rows,
+    a running number; so it follows from the rows alone, however they are read, and repeated rows spread like any others.
     """
     ship(docs.sparkSession)
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, n = encoder(vocabulary).ids, TaskContext.get().partitionId(), 0
+        encode = encoder(vocabulary).ids
         for batch in batches:
             out: list[list] = [[] for _ in range(6 + with_ids)]
-            for key, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, group, n = encode(data or b"") + end, _mix(part << 40 | n) % n_groups, n + 1
+            for key, data, draw in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids = encode(data or b"") + end
                 for at in range(0, len(ids), 4 * capacity):
                     own = ids[at : at + 4 * capacity]
-                    for column, x in zip(out, (key, at // 4, len(own) // 4, zlib.crc32(own), len(ids) // 4, group, own), strict=False):
+                    for column, x in zip(out, (key, at // 4, len(own) // 4, zlib.crc32(own), len(ids) // 4, draw, own), strict=False):
                         column.append(np.frombuffer(own, "<u4").astype("i4") if column is out[-1] and with_ids else x)
             types = [pa.int64()] * 6 + [pa.list_(pa.int32())] * with_ids
-            names = [x.split()[0] for x in PIECE.split(", ")] + ["ids"] * with_ids
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=[*NAMES, *["ids"] * with_ids])
 
-    held = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("binary").alias("text"))
-    return held.mapInArrow(lodged("packing", forget, run), PIECE + ", ids array<int>" * with_ids)
+    draw = F.xxhash64(docs[doc_id].cast("long"), F.coalesce(docs[text], F.lit("")))
+    held = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("binary").alias("text"), draw.alias("draw"))
+    made = held.mapInArrow(lodged("packing", forget, run), ", ".join(f"{x} long" for x in NAMES) + ", ids array<int>" * with_ids)
+    # Repeated rows make equal pieces: they are counted, and told apart by their number.
+    counted = made.groupBy(*made.columns).agg(F.count(F.lit(1)).alias("copies"))
+    copies = counted.select(*made.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy"))
+    return copies.withColumn("group_id", F.pmod(F.xxhash64("draw", "copy"), F.lit(n_groups).cast("long"))).drop("draw", "copy")
 
 
 class Bins:
@@ -176,21 +185,25 @@ def first_fit_decreasing(lengths: list[int], capacity: int) -> list[tuple[int, i
 
 
 def pack(parts: DataFrame, capacity: int = 2048) -> DataFrame:
-    """Adds sequence_id and offset to pieces; each group is packed by itself, longest pieces first."""
+    """Adds sequence_id and offset to pieces; each group is packed by itself, longest pieces first, ties by id, start and digest."""
+    order = [("length", "descending"), *((x, "ascending") for x in ("doc_id", "start", "ids_crc32", "doc_tokens"))]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        placed = np.array(first_fit_decreasing(group["length"].tolist(), capacity), dtype=np.int64).reshape(-1, 2)
-        return group.assign(sequence_id=(group["group_id"].to_numpy() << 32) + placed[:, 0], offset=placed[:, 1])
+    def run(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group, sort_keys=order, null_placement="at_end"))
+        placed = np.array(first_fit_decreasing(group.column("length").to_pylist(), capacity), dtype=np.int64).reshape(-1, 2)
+        sequence = (group.column("group_id").to_numpy() << 32) + placed[:, 0]
+        return group.append_column("sequence_id", pa.array(sequence, pa.int64())).append_column("offset", pa.array(placed[:, 1], pa.int64()))
 
-    return parts.groupBy("group_id").applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long")
+    return parts.groupBy("group_id").applyInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long")
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, group_docs: int = 2048, with_ids: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Sequences of at most ``capacity`` ids: a row per piece with its sequence and offset, gapless from 0.
 
     Groups hold about ``group_docs`` documents each. Null texts and empty texts are one end id; very long texts are cut
-    into pieces; null ids stay null; extra columns are ignored; an empty table gives no rows.
+    into pieces; null ids stay null; of equally long pieces the one with the smaller id, then start, comes first; repeated
+    rows are packed each; extra columns are ignored, whatever their names; an empty table gives no rows. The result
+    follows from the rows alone, not from how they are split or ordered.
     """
     n_groups = max(1, -(-docs.count() // group_docs))
     return pack(pieces(docs, vocabulary, n_groups, capacity, with_ids=with_ids, doc_id=doc_id, text=text), capacity)
