@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ship
+from .common import materialize, ship, sized
 
 #: The namespace of record ids, the profile of revisits, the stated date of records without one.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:labelwright:warc")
@@ -64,6 +64,8 @@ def _records(pages: DataFrame, page_id: str, url: str, payload: str, least: int)
     held = held.withColumn("digest", F.unhex(F.sha2("payload", 256)))
     narrow = held.select("page_id", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= least)
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    # Written first: small ones are broadcast, and beyond that a digest with very many rows can be split in the join.
+    firsts = sized(materialize(firsts, "firsts"))
     later = narrow.join(firsts, "digest").select("page_id", "digest", "first_page").distinct()
     blank = lambda c, t: F.lit(None).cast(t).alias(c)
     notes = later.select("page_id", blank("url", "string"), blank("payload", "binary"), "digest", "first_page", F.lit(0).alias("kind"))
@@ -119,9 +121,10 @@ def write(pages: DataFrame, base: str, roll_bytes: int = 256 << 20, shard_rows:
     have work. The number depends on the table alone.
 
     Of rows with equal payloads of at least ``revisit_from`` bytes the one with the smallest id is the response and the
-    others revisit it; of repeated rows of one id one is. A null payload is empty; null ids come first, in no order;
-    null URLs are unknown. Long payloads pass through one at a time; extra columns are ignored; an empty table writes no
-    archive and an empty manifest.
+    others revisit it; of repeated rows of one id one is. A null payload is empty. Null ids are dealt to shards by digest
+    and come first there, by digest and URL; of rows with a null id and equal payloads one is the response, unless a row
+    with an id is. Null URLs are unknown. Long payloads pass through one at a time; extra columns are ignored, whatever
+    their names; an empty table writes no archive and an empty manifest.
     """
     spark = pages.sparkSession
     ship(spark)
@@ -131,10 +134,7 @@ def write(pages: DataFrame, base: str, roll_bytes: int = 256 << 20, shard_rows:
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
-        known = ids.notna().to_numpy()
-        out = np.zeros(len(ids), dtype=np.int32)
-        out[known] = np.searchsorted(bounds, ids[known].to_numpy().astype(np.int64), side="right")
-        return pd.Series(out)
+        return pd.Series(np.searchsorted(bounds, ids.to_numpy().astype(np.int64), side="right").astype(np.int32))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         roller, noted, last, nth = None, {}, None, 0
@@ -161,8 +161,10 @@ def write(pages: DataFrame, base: str, roll_bytes: int = 256 << 20, shard_rows:
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in done], t) for i, t in enumerate(types)], names=[f.split()[0] for f in MANIFEST.split(", ")])
 
-    records = _records(pages, page_id, url, payload, revisit_from).withColumn("shard", shard_of("page_id"))
-    sorted_ = records.repartition(n_shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
+    known = shard_of(F.coalesce("page_id", F.lit(0)))
+    shard = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(n_shards)).cast("int")).otherwise(known)
+    records = _records(pages, page_id, url, payload, revisit_from).withColumn("shard", shard)
+    sorted_ = records.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     sorted_.mapInArrow(run, MANIFEST).write.parquet(f"{base}/_attempts")
 
     def commit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
