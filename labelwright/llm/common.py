@@ -13,6 +13,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share; a temporary one only where a local master has one machine and names none."""
     if not (base := spark.conf.get("spark.checkpoint.dir", None)):
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that driver and executors share (master: {master})")
         base = "file://" + tempfile.mkdtemp(prefix="labelwright-")
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -33,12 +37,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/labelwright/{name}-{uuid.uuid4().hex}"
 
 
+#: Written tables that nothing has deleted yet, in the order they were written.
+_written: list[DataFrame] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage with a table in the shared folder; a lost executor costs a rerun of tasks, never the rows."""
     spark = df.sparkSession
     df.write.parquet(path := scratch_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
+    _written.append(out)
     return out
 
 
@@ -48,6 +57,19 @@ def discard(*tables: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(conf).delete(path, True)
+        _written[:] = [x for x in _written if x._scratch != df._scratch]
+
+
+def settle(df: DataFrame, name: str, since: int) -> DataFrame:
+    """The table, written; of what had been written for it, since ``len(_written)`` was that, nothing stays."""
+    out = materialize(df, name)
+    discard(*(x for x in _written[since:] if x is not out))
+    return out
+
+
+def written() -> int:
+    """How many written tables there are, to :func:`settle` what comes after."""
+    return len(_written)
 
 
 def ship(spark: SparkSession) -> None:
@@ -111,6 +133,22 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def sized(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A written table, marked for broadcast only if it is counted to hold no more than that many (narrow) rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _row_bytes(schema: T.StructType) -> Column:
+    """About what a row holds: eight bytes a number, the bytes of strings, arrays' elements."""
+
+    def of(c: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * 8 + 16
+        if isinstance(kind, T.StructType):
+            return sum((of(c[f.name], f.dataType) for f in kind.fields), F.lit(16))
+        return F.lit(8)
+
+    return sum((of(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields), F.lit(16)).cast("long")
+
+
+def sized(df: DataFrame, max_bytes: int = 8 << 20) -> DataFrame:
+    """A written table, marked for broadcast only if its rows are counted to hold no more than that many bytes."""
+    held = df.agg(F.sum(_row_bytes(df.schema))).first()[0] or 0
+    return F.broadcast(df) if held <= max_bytes else df

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, ship
+from .common import discard, materialize, ship
 
 ORDERS = (2, 3, 4)
 BITS = 14
@@ -123,6 +123,7 @@ def train(docs: DataFrame, per_language: int = 1500, doc_id: str = "doc_id", tex
         own[0] += r["n"]
         own[1] += np.frombuffer(r["sums"])
     if not totals:
+        discard(drawn)
         return None
     langs = sorted(totals)
     means = np.array([totals[x][1] / totals[x][0] for x in langs])
@@ -152,6 +153,7 @@ def train(docs: DataFrame, per_language: int = 1500, doc_id: str = "doc_id", tex
     n = max(1, sum(r["n"] for r in rows))
     size, right = np.sum([r["size"] for r in rows], 0) / n, np.sum([r["correct"] for r in rows], 0) / n
     trust = np.maximum(right - 0.5, 1e-3)
+    discard(drawn)
     model.scale, model.trust = 1 / np.maximum(size, 1e-9), trust * len(trust) / trust.sum()
     return model
 
@@ -160,8 +162,9 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str], text: str =
     """The kept columns of each row with lang_pred, score and ambiguous.
 
     A text that is null, empty or without a letter is ``und`` with score 0, as is every text where no model could be
-    fitted. Whole texts count, in pieces of bounded size; repeated rows give repeated results; an empty table gives no
-    rows. No row meets another: there is no shuffle.
+    fitted. Of languages that decode equally well the first by name wins, flagged as ambiguous. Very long texts count
+    whole, in pieces of bounded size; null ids and repeated rows give results like any others; other columns are ignored,
+    whatever their names; an empty table gives no rows. No row meets another: there is no shuffle.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -10,8 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, sized
-from .quality import NOT_SPACE, SPACE
+from .common import discard, let, materialize, sized
+from .quality import NOT_SPACE
 
 PREFIX = "__line_"
 LINE, SITE, TEXT, POS, KEY = (PREFIX + x for x in ("digest", "site", "text", "pos", "key"))
@@ -21,10 +21,6 @@ def _digest(c: Column) -> Column:
     return F.unhex(F.md5(c.cast("binary")))
 
 
-def _n_words(text: Column) -> Column:
-    return F.size(F.array_remove(F.split(text, SPACE), ""))
-
-
 def line_table(docs: DataFrame, site: str = "source", text: str = "text") -> DataFrame:
     """A row per line that has a word: the text's digest, the line's place and digest, the site (null: one site, '')."""
     rows = docs.filter(docs[text].isNotNull()).select(_digest(docs[text]).alias(TEXT), F.coalesce(docs[site], F.lit("")).alias(SITE), F.posexplode(F.split(docs[text], "\n")).alias(POS, LINE))
@@ -46,33 +42,44 @@ def spread_lines(lines: DataFrame, min_sites: int = 10, lg_k: int = 12, margin:
     return out
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = 10, max_share: float | None = 0.5, total_as: str = "line_total", removed_as: str = "line_removed") -> DataFrame:
-    """The rows with boilerplate lines taken out of the text, and line_total, line_removed (lines that have a word).
+def _without(parts: Column, places: Column) -> Column:
+    """The array without the elements at the given sorted places: the slices between them, one after another."""
+    before = F.concat(F.array(F.lit(-1)), places)
+    after = F.concat(places, F.array(F.size(parts)))
+    return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(parts, a + 2, b - a - 1)))
+
+
+def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = 10, keep_wholly_spread: bool = False, total_as: str = "line_total", removed_as: str = "line_removed", wholly_as: str = "wholly_spread") -> DataFrame:
+    """The rows with boilerplate lines taken out of the text, and line_total, line_removed (lines that have a word) and
+    wholly_spread.
 
-    A line is boilerplate if it stands on at least ``min_sites`` distinct sites. A text of which boilerplate would take
-    more than ``max_share`` of the words keeps all its lines, own ones or not, copy or not. With a ``max_share`` of None
-    boilerplate goes whatever its share, and only a text without a line of its own keeps its lines: every one of them
-    stands elsewhere, so near-duplicate removal decides about it. Lines are compared as they are; blank lines stay. Null
-    texts stay null and count no lines; repeated rows are treated alike; other columns pass through, but for those that
-    have the names of the two counts; an empty table gives no rows.
+    A line is boilerplate if it stands on at least ``min_sites`` distinct sites; it goes from every text, whatever its
+    share of the words. A text all of whose lines are boilerplate has nothing of its own and is marked wholly_spread;
+    ``keep_wholly_spread`` leaves the lines of such texts, which are copies line by line, to near-duplicate removal.
+    Lines are compared as they are; blank lines stay. Null texts stay null and count no lines, and are not wholly
+    spread; nor is an empty text. Null sites are one site. Repeated rows are treated alike, and of a line that repeats
+    in a text all places go. Very long texts are cut whole, in time proportional to their length. Other columns pass
+    through, but for those that have the names of the three results; an empty table gives no rows.
     """
     lines = materialize(line_table(docs, site, text), "lines")
     spread = spread_lines(lines, min_sites)
-    found = materialize(lines.select(TEXT, POS, LINE).join(spread, LINE, "left_semi").groupBy(TEXT).agg(F.collect_set(POS).alias(POS)), "line-places")
+    found = lines.select(TEXT, POS, LINE).join(sized(spread), LINE, "left_semi").groupBy(TEXT).agg(F.sort_array(F.collect_set(POS)).alias(POS))
+    found = materialize(found, "line-places")
     discard(lines, spread)
     keyed = docs.withColumn(KEY, _digest(docs[text]))
     joined = keyed.join(sized(found), keyed[KEY] == found[TEXT], "left")
+    hit = F.col(POS).isNotNull()
     parts = F.split(F.col(text), "\n")
-    rest = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(F.col(POS), i)), "\n")
-    total = F.when(F.col(POS).isNotNull(), _n_words(F.col(text)))
-    cut = joined.withColumn(PREFIX + "rest", F.when(F.col(POS).isNotNull(), rest))
-    left = _n_words(F.col(PREFIX + "rest"))
-    goes = left > 0 if max_share is None else total - left <= F.lit(max_share) * total
-    cut = cut.withColumn(PREFIX + "cut", F.coalesce(goes, F.lit(False)))
-    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(NOT_SPACE))), F.lit(0)).cast("long")
-    out = {c: F.when(F.col(PREFIX + "cut"), F.col(PREFIX + "rest")).otherwise(F.col(c)) if c == text else F.col(c) for c in docs.columns if c not in (total_as, removed_as)}
-    return cut.select(
+    n_lines = F.coalesce(F.size(F.filter(parts, lambda x: x.rlike(NOT_SPACE))), F.lit(0))
+    n_lines = F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long")
+    counted = joined.withColumns({PREFIX + "total": n_lines, PREFIX + "hits": F.when(hit, F.size(POS)).otherwise(0).cast("long")})
+    wholly = hit & (F.col(PREFIX + "hits") == F.col(PREFIX + "total"))
+    cut = hit & ~wholly if keep_wholly_spread else hit
+    rest = F.array_join(let(parts, lambda x: _without(x, F.col(POS))), "\n")
+    out = {c: F.when(cut, rest).otherwise(F.col(c)) if c == text else F.col(c) for c in docs.columns if c not in (total_as, removed_as, wholly_as)}
+    return counted.select(
         *(v.alias(k) for k, v in out.items()),
-        F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long").alias(total_as),
-        F.when(F.col(PREFIX + "cut"), F.size(POS)).otherwise(0).cast("long").alias(removed_as),
+        F.col(PREFIX + "total").alias(total_as),
+        F.when(cut, F.col(PREFIX + "hits")).otherwise(0).cast("long").alias(removed_as),
+        wholly.alias(wholly_as),
     )

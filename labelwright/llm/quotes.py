@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import discard, let, materialize, settle, written
 
 #: A quoted line's marks, and a line that announces a quotation.
 MARKS = r"^[ \t]*((?:>[ \t]?)+)"
@@ -102,7 +102,8 @@ def threads(links: DataFrame) -> DataFrame:
         if up.join(above, ["c", "up"], "left_semi").isEmpty():
             return up.withColumnRenamed("up", "thread")
         joined = up.join(above, ["c", "up"], "left")
-        up = materialize(joined.select("c", "t", "parent", F.coalesce("next", "up").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "threads")
+        before, up = up, materialize(joined.select("c", "t", "parent", F.coalesce("next", "up").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).alias("level")), "threads")
+        discard(before)
 
 
 def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
@@ -110,10 +111,12 @@ def link_quotes(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     parent_turn, thread_turn and reply_level, in reply order: by conversation, thread, level, turn.
 
     A message that quotes nothing known begins a thread of its own: no parent, its own turn, level 0. Null texts stay
-    null; messages with a null conversation or turn are not linked; rows that repeat a turn share its links. Other
-    columns pass through; an empty table gives no rows.
+    null and empty ones empty; messages with a null conversation or turn are not linked; rows that repeat a turn share
+    its links. Of originals that match equally well the latest wins. Very long texts are parsed whole, inside the row.
+    Other columns pass through, but for those that have the names of the results; an empty table gives no rows.
     """
-    links = materialize(quote_links(messages, conv, turn, text), "quote-links")
+    since = written()
+    links = settle(quote_links(messages, conv, turn, text), "quote-links", since)
     counts = links.groupBy("c", "t", "d").count().groupBy("c", "t").agg(F.map_from_entries(F.collect_list(F.struct("d", "count"))).alias("n"))
     per = threads(links).join(counts, ["c", "t"])
     per = per.select(*(F.col(k).alias(PREFIX + k) for k in ("c", "t", "parent", "thread", "level", "n")))
