@@ -10,37 +10,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelwright.llm import decontaminate, jaccard_join, linedup, packing, quality
-from labelwright.llm.common import materialize, sized, table
+from labelwright.llm.common import discard, settle, sized, table, written
 from labelwright.llm.queries import word_vocabulary
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail a base rule go, as do those of hosts most of whose documents fail any rule."""
+    """Documents that fail a base rule go, as do those of hosts most of whose documents fail any rule.
+
+    Null and empty texts have no words and go; null hosts are one host; null ids and repeated rows are judged like any
+    others; other columns pass through, whatever their names; an empty table gives no rows.
+    """
     return quality.kept_documents(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines spread over sites leave every text that has a line of its own; n_chars follows the text, every document stays."""
-    cut = linedup.dedup_lines(docs, max_share=None, total_as="__line_total", removed_as="__line_removed")
+    """Lines spread over sites leave every text that has a line of its own; n_chars follows the text, every document stays.
+
+    A text without a line of its own keeps its lines: near-duplicate removal decides about it. Null and empty texts,
+    null ids and repeated rows stay as they are or are cut alike; null hosts are one site; other columns pass through,
+    whatever their names; an empty table gives no rows.
+    """
+    cut = linedup.dedup_lines(docs, keep_wholly_spread=True, total_as="__line_total", removed_as="__line_removed", wholly_as="__wholly_spread")
     length = F.when(F.col("__line_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return cut.select(*(length.alias(c) if c == "n_chars" else c for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays, the one with the smallest id."""
+    """One document of each class stays, the one with the smallest id, of equal ids that with the least digest.
+
+    Rows are told by id and text. Null and empty texts stay; a class of null ids keeps one row; repeated rows are copies;
+    other columns pass through, whatever their names; an empty table gives no rows.
+    """
     return jaccard_join.one_of_each(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item within its edit budget go; told by the digest of the text, as ids can be null."""
+    """Documents that hold a benchmark item within its edit budget go; told by the digest of the text, as ids can be null.
+
+    Null and empty texts stay; repeated rows go or stay together; other columns pass through, whatever their names; an
+    empty table gives no rows, an empty benchmark takes none.
+    """
+    since = written()
     digest = F.xxhash64(docs["text"])
     hits = decontaminate.contaminated(docs.select(digest.alias("doc_id"), docs["text"]), table(spark, sf_dir, "benchmark"))
-    gone = materialize(hits.select(F.col("doc_id").alias("__gone")).distinct(), "contaminated")
+    gone = settle(hits.select(F.col("doc_id").alias("__gone")).distinct(), "contaminated", since)
     return docs.join(sized(gone), digest == F.col("__gone"), "left_anti")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row per piece of a document in its sequence."""
+    """A row per piece of a document in its sequence; null and empty texts are one end id, repeated rows are packed each."""
     return packing.pack_documents(docs, word_vocabulary()).drop("group_id")
 
 
@@ -57,7 +75,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """All stages; a stage's rows, and what it wrote besides, go when the next one's are written."""
+    docs = before = None
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        since = written()
+        docs = settle(stage(spark, table(spark, sf_dir, "documents") if docs is None else docs, sf_dir), f"pipeline-{name}", since)
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -14,26 +14,30 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, sized
+from .common import let, materialize, settle, sized, written
 
 #: What separates words, what counts as a symbol.
 SPACE = r"[\x20\x09-\x0D]+"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 
+#: The rules by name; the first two are the base rules.
+RULES = ("short", "repeats", "symbols", "dup_lines")
+
 PREFIX = "__quality_"
 
 
 def _repeated(words: Column) -> Column:
     """Words inside 5-word windows that occur at least twice in the text.
 
-    Windows are 64-bit hashes. Only texts with an equal pair sort (hash, position) pairs; equal neighbours give the
-    starts, and each start covers five words less what the next start covers too.
+    Windows are 64-bit hashes. Only texts with an equal pair sort (hash, position) pairs; neighbours of equal hashes
+    whose words are equal too give the starts, and each start covers five words less what the next start covers too.
     """
 
     def of_windows(h: Column) -> Column:
         def of_sorted(s: Column) -> Column:
-            same = lambda e, k: F.coalesce(F.get(s, k)["h"] == e["h"], F.lit(False))
+            at = lambda i: F.slice(words, i + 1, 5)
+            same = lambda e, k: F.coalesce(F.when(F.get(s, k)["h"] == e["h"], at(F.get(s, k)["i"]) == at(e["i"])), F.lit(False))
             hit = F.filter(s, lambda e, k: F.when(k > 0, same(e, k - 1)).otherwise(False) | same(e, k + 1))
             starts = F.sort_array(F.transform(hit, lambda e: e["i"]))
             return let(
@@ -97,12 +101,14 @@ def host_rates(scored: DataFrame, host: str = "host", failed: str = "base_failed
     return hosts.withColumn("rate", (F.col("failed") + F.lit(mean * strength)) / (F.col("n") + F.lit(strength)))
 
 
-def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", max_host_rate: float = 0.5, host_rules: tuple[str, ...] = ("short", "repeats")) -> DataFrame:
+def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "text", max_host_rate: float = 0.5, host_rules: tuple[str, ...] = RULES) -> DataFrame:
     """Every row's kept columns, counts, rule flags, base_failed, host_rate, host_rejected and kept.
 
     A document goes if it fails a base rule, or if its host's shrunken failure rate is over ``max_host_rate``; a
-    document counts as its host's failure if it fails any of ``host_rules``, by default the base rules. Null hosts are one host. A null or empty text has no words and fails as short. Repeated rows are judged each. Extra
-    columns are left alone. An empty table gives no rows.
+    document counts as its host's failure if it fails any of ``host_rules``, by default all rules. Null hosts are one
+    host, and hosts with the same rate have the same verdict. A null or empty text has no words and fails as short. Very
+    long texts count whole. Repeated rows are judged each. Extra columns are left alone, whatever their names. An empty
+    table gives no rows.
     """
     names = {k: f"{PREFIX}k{i}" for i, k in enumerate(keep)}
     held = docs.select(*(docs[k].alias(v) for k, v in names.items()), docs[host].alias(PREFIX + "host"), docs[text].alias(PREFIX + "text"))
@@ -121,13 +127,14 @@ def judge(docs: DataFrame, keep: list[str], host: str = "source", text: str = "t
 
 
 def kept_documents(docs: DataFrame, host: str = "source", text: str = "text", max_host_rate: float = 0.5) -> DataFrame:
-    """The rows that :func:`judge` keeps if a failure of any rule counts against the host, with the columns of the input.
+    """The rows that :func:`judge` keeps, with the columns of the input.
 
     What is judged and written is a digest and counts per row; texts that go are few, and are taken out by an anti join
     on text digest and host, which is broadcast only while it is small.
     """
+    since = written()
     digest = F.unhex(F.md5(F.coalesce(docs[text], F.lit("")).cast("binary")))
     held = docs.select(docs[host].alias("source"), docs[text].alias("text"), digest.alias("digest"))
-    judged = judge(held, ["digest"], max_host_rate=max_host_rate, host_rules=tuple(rule_flags())).filter(~F.col("kept"))
-    gone = materialize(judged.select(F.col("digest").alias(PREFIX + "d"), F.col("host").alias(PREFIX + "h")).distinct(), "rejected")
+    judged = judge(held, ["digest"], max_host_rate=max_host_rate).filter(~F.col("kept"))
+    gone = settle(judged.select(F.col("digest").alias(PREFIX + "d"), F.col("host").alias(PREFIX + "h")).distinct(), "rejected", since)
     return docs.join(sized(gone), (digest == F.col(PREFIX + "d")) & docs[host].eqNullSafe(F.col(PREFIX + "h")), "left_anti")

@@ -59,7 +59,7 @@ def op8_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_total", "line_removed", "text")
+    return linedup.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "line_total", "line_removed", "wholly_spread", "text")
 
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,10 +96,10 @@ r AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS n FROM k),
 c AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM r WHERE n > 1) GROUP BY rid),
 m AS (SELECT doc_id, source, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+        (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls) AS n_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
       FROM w LEFT JOIN c USING (rid)),
 b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS n, sum(base_failed::INT) AS f FROM b GROUP BY source),
+h AS (SELECT source, count(*) AS n, sum((base_failed OR n_symbols > 0.5 * n_words OR n_dup_lines > 0.3 * n_lines)::INT) AS f FROM b GROUP BY source),
 p AS (SELECT sum(f) / sum(n) AS mu, var_pop(f / n) AS v FROM h),
 q AS (SELECT mu, CASE WHEN v > 0 THEN least(10000.0, greatest(1.0, mu * (1 - mu) / v - 1)) ELSE 10000.0 END AS s FROM p),
 x AS (SELECT source, (f + mu * s) / (n + s) > 0.5 AS host_rejected FROM h, q)
@@ -114,10 +114,9 @@ l AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, unnest(ra
 w AS (SELECT *, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n FROM l),
 s AS (SELECT line FROM w WHERE n > 0 GROUP BY line HAVING count(DISTINCT source) >= 10),
 f AS (SELECT w.*, s.line IS NOT NULL AS spread FROM w LEFT JOIN s ON w.line = s.line),
-a AS (SELECT rid, sum((n > 0)::INT) AS line_total, sum(spread::INT) AS hit, sum(n) AS total, sum(CASE WHEN spread THEN n ELSE 0 END) AS lost,
-        string_agg(line, chr(10) ORDER BY pos) FILTER (NOT spread) AS rest FROM f GROUP BY rid)
-SELECT doc_id, coalesce(line_total, 0)::BIGINT AS line_total,
-       (CASE WHEN hit > 0 AND lost <= 0.5 * total THEN hit ELSE 0 END)::BIGINT AS line_removed,
-       CASE WHEN hit > 0 AND lost <= 0.5 * total THEN coalesce(rest, '') ELSE text END AS text
+a AS (SELECT rid, sum((n > 0)::INT) AS line_total, sum(spread::INT) AS hit, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT spread) AS rest FROM f GROUP BY rid)
+SELECT doc_id, coalesce(line_total, 0)::BIGINT AS line_total, coalesce(hit, 0)::BIGINT AS line_removed,
+       coalesce(hit > 0 AND hit = line_total, false) AS wholly_spread,
+       CASE WHEN hit > 0 THEN coalesce(rest, '') ELSE text END AS text
 FROM d LEFT JOIN a USING (rid)
 """
