@@ -160,17 +160,19 @@ def _ip(m: re.Match, key: bytes, sign: int) -> str | None:
 FIRST, LAST = dt.date(1900, 1, 1).toordinal(), dt.date(2099, 12, 31).toordinal()
 
 
-def _date(order: str, valid: Callable[[dt.date], bool] = lambda _: True) -> Callable:
-    """The valid days only: month-first dates are those that can't be read day-first, and stay so."""
+def _date(order: str) -> Callable:
+    """A day's image is the same in every layout. Days after the 12th stay among each other, so that a month-first date,
+    which is known by such a day, can be read as one again; so do the others."""
 
     def replace(m: re.Match, key: bytes, sign: int) -> str | None:
         try:
             day = dt.date(int(m["y"]), int(m["m"]), int(m["d"]))
         except ValueError:
             return None
-        if not FIRST <= day.toordinal() <= LAST or not valid(day):
+        if not FIRST <= day.toordinal() <= LAST or order == "mdy" and day.day <= 12:
             return None
-        new = dt.date.fromordinal(FIRST + _domain(key, "date", LAST - FIRST + 1).apply(day.toordinal() - FIRST, lambda x: valid(dt.date.fromordinal(FIRST + x)), sign))
+        alike = lambda x: (dt.date.fromordinal(FIRST + x).day > 12) == (day.day > 12)
+        new = dt.date.fromordinal(FIRST + _domain(key, "date", LAST - FIRST + 1).apply(day.toordinal() - FIRST, alike, sign))
         return m["s"].join({"y": f"{new.year:04d}", "m": f"{new.month:02d}", "d": f"{new.day:02d}"}[c] for c in order)
 
     return replace
@@ -202,7 +204,7 @@ KINDS: list[tuple[str, str, Callable]] = [
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])", _iban),
     ("date", r"(?<![\d.\-/])(?P<y>\d{4})(?P<s>[\-/.])(?P<m>\d{2})(?P=s)(?P<d>\d{2})(?![\d\-/])", _date("ymd")),
     ("date", r"(?<![\d.\-/])(?P<d>\d{2})(?P<s>[\-/.])(?P<m>\d{2})(?P=s)(?P<y>\d{4})(?![\d\-/])", _date("dmy")),
-    ("date", r"(?<![\d.\-/])(?P<m>\d{2})(?P<s>/)(?P<d>\d{2})(?P=s)(?P<y>\d{4})(?![\d\-/])", _date("mdy", lambda day: day.day > 12)),
+    ("date", r"(?<![\d.\-/])(?P<m>\d{2})(?P<s>/)(?P<d>\d{2})(?P=s)(?P<y>\d{4})(?![\d\-/])", _date("mdy")),
     ("card", r"(?<![\d.\-])\d(?:[ \-]?\d){12,18}(?![\d\-])", _card),
     ("ssn", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])", _ssn),
     ("phone", r"(?<![\w+.])(?:\+?1[ .\-]?)?(?P<national>\(\d{3}\)[ ]?\d{3}[ .\-]\d{4}|\d{3}[ .\-]\d{3}[ .\-]\d{4})(?![\w\-])", _phone),
@@ -267,8 +269,10 @@ def pseudonymise(text: str, key: bytes, sign: int = 1) -> tuple[str, list[tuple[
 def pseudonymise_documents(docs: DataFrame, key: str, keep: list[str], text: str = "text") -> DataFrame:
     """The kept columns, the text with pseudonyms, and the spans that were replaced (offsets in the input text).
 
-    A null text stays null with no spans; texts without a valid value come back unchanged. Repeated rows give repeated
-    results; other columns are ignored; an empty table gives no rows. The key is a secret of the caller's.
+    A null text stays null with no spans; empty texts and texts without a valid value come back unchanged. Very long
+    texts are searched whole. Of two kinds that could stand at one place the first of ``KINDS`` with a valid value wins.
+    Null ids and repeated rows give results like any others; other columns are ignored, whatever their names; an empty
+    table gives no rows. The key is a secret of the caller's.
     """
     ship(docs.sparkSession)
     secret = key.encode()
