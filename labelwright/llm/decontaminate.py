@@ -59,6 +59,37 @@ def myers(pattern: str, text: str) -> tuple[int, int]:
     return best, at
 
 
+def ends(pattern: str, text: str, a: int, b: int, k: int) -> Iterator[tuple[int, int]]:
+    """(end, edits) of places of the pattern in text[a:b] that are within k edits and no worse than those that end right before and after."""
+    m = len(pattern)
+    full, high = (1 << m) - 1, 1 << m - 1
+    peq: dict[str, int] = {}
+    for i, c in enumerate(pattern):
+        peq[c] = peq.get(c, 0) | 1 << i
+    get = peq.get
+    pv, mv, score, best, at = full, 0, m, k + 1, 0
+    for j in range(a, b):
+        eq = get(text[j], 0)
+        xv = eq | mv
+        xh = ((eq & pv) + pv ^ pv) | eq
+        ph = mv | ~(xh | pv) & full
+        mh = pv & xh
+        if ph & high:
+            score += 1
+        elif mh & high:
+            score -= 1
+        if score < best:
+            best, at = score, j + 1
+        elif best <= k and (score > k or j + 1 - at > k):
+            yield at, best
+            best, at = k + 1, 0
+        ph = ph << 1 & full
+        pv = (mh << 1 | ~(xv | ph)) & full
+        mv = ph & xv
+    if best <= k:
+        yield at, best
+
+
 def merged(windows: list[tuple[int, int]]) -> list[list[int]]:
     """The windows in order of their start, those that touch as one."""
     out: list[list[int]] = []
@@ -76,7 +107,8 @@ class Items:
     def __init__(self, items: tuple[tuple[int, str], ...], rate: float, min_piece: int):
         import ahocorasick
 
-        self.items = [(i, n, budget(len(n), rate, min_piece)) for i, n in items]
+        # A space on either side: what is found begins and ends with whole words, but for edits.
+        self.items = [(i, f" {n} ", budget(len(n), rate, min_piece)) for i, n in items]
         self.grams = [frozenset(zip(n, n[1:], n[2:], n[3:], strict=False)) for _, n, _ in self.items]
         found: dict[str, list[tuple[int, int]]] = {}
         for x, (_, n, k) in enumerate(self.items):
@@ -90,6 +122,7 @@ class Items:
 
     def hits(self, norm: str) -> Iterator[tuple[int, int, int, int]]:
         """(item, edits, start, end) of each item's best place within its budget; offsets are into the normalised text."""
+        size_of_text, norm = len(norm), f" {norm} "
         windows: dict[int, list[tuple[int, int]]] = {}
         for last, (size, uses) in self.seeds.iter(norm):
             for x, at in uses:
@@ -111,7 +144,7 @@ class Items:
                     back = myers(n[::-1], window[:end][::-1])[1] if e else len(n)
                     best = e, a + end - back, a + end
             if best:
-                yield item, *best
+                yield item, best[0], min(best[1], size_of_text), min(max(best[2] - 2, best[1]), size_of_text)
 
 
 @functools.lru_cache(2)
@@ -143,9 +176,12 @@ def blocks(benchmark: DataFrame, block_chars: int, item_id: str, text: str) -> I
 def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_piece: int = 12, block_chars: int = 4_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each row and item of which the text holds a place within the item's edit budget: its best place.
 
-    An item of n normalised characters may differ by min(rate * n, n / min_piece - 1) edits; items without a letter or
-    digit are ignored, as are null and empty texts. Repeated rows give repeated results; null ids stay null; extra
-    columns are ignored; an empty table or benchmark gives no rows. Each block of items is one scan without a shuffle.
+    An item of n normalised characters may differ by min(rate * n, n / min_piece - 1) edits, and stands there in whole
+    words; one of fewer than 2 * min_piece characters so stands there exactly, and one of a single word is held by every
+    text with that word. Items without a letter or digit are ignored, as are null and empty texts; of equally good places
+    the first counts. Very long texts are searched whole. Repeated rows give repeated results, repeated items one; null
+    ids stay null; extra columns are ignored, whatever their names; an empty table or benchmark gives no rows. Each block
+    of items is one scan without a shuffle.
     """
     spark = docs.sparkSession
     ship(spark)

@@ -166,7 +166,7 @@ def test_windows_keep_the_earliest_start():
     own = decontaminate.Items(((1, item),), 0.08, 12)
     assert [x[1:3] for x in own.hits("some words " + text)] == [(4, 11)] and edit_distance_in(item, text) == 4
     scan = license_scan.scanner(((item, "x"),), 0.08, 12)
-    assert [x[1:4] for x in scan.matches("some words " + text)] == [(11, 131, 4)]
+    assert [x[1:4] for x in scan.matches(f" some words {text} ")] == [(12, 132, 4)]
 
 
 def test_leaves_of_a_large_group_are_bounded_and_few():
@@ -179,3 +179,75 @@ def test_leaves_of_a_large_group_are_bounded_and_few():
 
     # A group of eight times the size would make eight times the rows for each set if pairs made them.
     assert all(rows(2400, kept) <= 4 * rows(300, kept) for kept in (0.5, 0.7, 0.8))
+
+
+def test_a_day_has_one_pseudonym_in_every_layout():
+    first = dt.date(2016, 1, 1)
+    images = set()
+    for i in range(1000):
+        day = first + dt.timedelta(i)
+        layouts = ["%Y-%m-%d", "%d/%m/%Y", "%d.%m.%Y", *(["%m/%d/%Y"] if day.day > 12 else [])]
+        new = {dt.datetime.strptime(pii.pseudonymise(day.strftime(x), b"key")[0], x).date() for x in layouts}
+        assert len(new) == 1
+        images |= new
+        back = pii.pseudonymise(pii.pseudonymise(day.strftime(layouts[-1]), b"key")[0], b"key", -1)[0]
+        assert back == day.strftime(layouts[-1])
+    assert len(images) == 1000
+
+
+def test_items_stand_in_whole_words():
+    items = ((1, "cat"), (2, "two words"), (3, "a longer item of some words that may differ a little here and there"))
+    own = decontaminate.Items(items, 0.08, 12)
+    hits = lambda t: sorted((x[0], x[1]) for x in own.hits(decontaminate.normalise(t)))
+    assert hits("A concatenated priam list") == [] and hits("The Cat!") == [(1, 0)] and hits("(two) words") == [(2, 0)] and hits("two wordsmiths") == []
+    assert hits("x a longer itm of some words that may differ a little here and there") == [(3, 1)]
+    text = decontaminate.normalise("see the cat, and two words")
+    assert sorted(text[a:b] for _, _, a, b in own.hits(text)) == ["cat", "two words"]
+
+
+def _best_at_words(notice, norm):
+    """The least edits between the notice and any run of whole words."""
+    at = [i for i, c in enumerate(norm) if c == " "]
+    near = [norm[a + 1 : b] for i, a in enumerate(at) for b in at[i + 1 :] if abs(b - a - 1 - len(notice)) <= 10]
+    return min((whole_distance(notice, x) for x in near), default=99)
+
+
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, p in enumerate(a, 1):
+        new = [i]
+        for j, t in enumerate(b, 1):
+            new.append(min(row[j - 1] + (p != t), row[j] + 1, new[-1] + 1))
+        row = new
+    return row[-1]
+
+
+def test_notices_against_a_plain_edit_search():
+    rnd = random.Random(9)
+    scan = license_scan.scanner(tuple(license_scan.NOTICES.items()), 0.12, 1)
+    for n, label, k in scan.notices:
+        for edits in (0, 1, k // 2, k, k + 1, k + 3):
+            s = list(n)
+            for _ in range(edits):
+                s[rnd.randrange(1, len(s) - 1)] = rnd.choice("7xq")
+            norm = f" some words {''.join(s)} and more "
+            truth = _best_at_words(n, norm)
+            got = [x for x in scan.matches(norm) if x[0] == label and x[4] == len(n)]
+            assert bool(got) == (truth <= k), (norm, truth, k)
+            assert all(whole_distance(n, norm[a:b]) <= e <= k and norm[a - 1] == norm[b] == " " for _, a, b, e, _ in got)
+    inside = lambda t: license_scan.scan_text(t.encode(), scan)[5]
+    assert inside("smallest rights reserved") == "" and inside("all rights reservedly") in ("", "reserved") and inside("All rights reserved.") == "reserved"
+
+
+def test_repeated_notices_take_time_in_proportion():
+    scan = license_scan.scanner(tuple(license_scan.NOTICES.items()), 0.12, 1)
+    got = license_scan.scan_text(b"released under the mit license " * 4000, scan)
+    assert got[:5] == (20_000, 4000, 3, 19_998, "mit") and len(got[-1]) == 4000 and got[-1][-1] == {"label": "mit", "first_word": 19_995, "n_words": 5, "errors": 0}
+
+
+def test_alike():
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 3, (70, jaccard_join.TOKENS)).astype(np.uint8) * 100
+    n = rng.integers(50, 100, 70)
+    truth = ((sig[:, None] == sig[None]).sum(-1) >= 22) & (np.minimum(n[:, None], n) >= 0.8 * np.maximum(n[:, None], n)) & ~np.eye(70, dtype=bool)
+    assert (jaccard_join._alike(n, sig, 22 / 64, 0.8) == truth).all() and truth.any()

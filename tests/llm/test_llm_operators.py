@@ -58,12 +58,18 @@ def test_bad_hosts_take_their_documents_along(spark):
 
 
 def test_line_dedup(spark, empty):
-    rows = [(i, f"menu line\n{i} own words of this page stand here\n\nlast {i}", f"s{i % 12}") for i in range(24)] + [(50 + i, "copied line one\ncopied line two", f"s{i}") for i in range(12)] + [(90, None, "s1"), (91, "", None), (92, "menu line\nmenu line", "s1")]
+    rows = [(i, f"menu line\n{i} own words of this page stand here\n\nlast {i}", f"s{i % 12}") for i in range(24)] + [(50 + i, "copied line one\n\ncopied line two", f"s{i}") for i in range(12)]
+    rows += [(90, None, "s1"), (91, "", None), (92, "menu line\nmenu line", "s1"), (None, "menu line\nx\nmenu line", None), (93, "menu line\nshort", "s2"), (93, "menu line\nshort", "s2")]
+    rows += [(94, "\n".join(f"long {i}\nmenu line" for i in range(20_000)), "s3")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("line_removed", F.lit("x"))
     got = {r["doc_id"]: r for r in linedup.dedup_lines(docs).collect()}
     assert got[3]["text"] == "3 own words of this page stand here\n\nlast 3" and got[3]["line_removed"] == 1 and got[3]["line_total"] == 3
-    assert got[55]["text"] == "copied line one\ncopied line two" and got[55]["line_removed"] == 0
-    assert got[90]["text"] is None and got[91]["text"] == "" and got[92]["line_removed"] == 0
+    assert (got[55]["text"], got[55]["line_removed"], got[55]["wholly_spread"]) == ("", 2, True)
+    assert got[90]["text"] is None and got[91]["text"] == "" and (got[92]["text"], got[92]["line_removed"]) == ("", 2)
+    assert got[None]["text"] == "x" and got[93]["text"] == "short" and not got[93]["wholly_spread"]
+    assert got[94]["text"] == "\n".join(f"long {i}" for i in range(20_000)) and got[94]["line_removed"] == 20_000
+    kept = {r["doc_id"]: r for r in linedup.dedup_lines(docs, keep_wholly_spread=True).collect()}
+    assert kept[55]["text"] == "copied line one\n\ncopied line two" and kept[92]["text"] == "menu line\nmenu line" and kept[93]["text"] == "short"
     assert linedup.dedup_lines(empty).count() == 0
 
 
@@ -85,6 +91,13 @@ def test_packing(docs, empty):
     assert packing.pack_documents(empty, VOCABULARY).count() == 0
 
 
+def test_packing_follows_from_the_rows_alone(spark):
+    rows = [(i if i % 7 else None, f"text {i % 40} " * (1 + i % 30)) for i in range(400)] + [(5, "again")] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    packed = [sorted(map(str, packing.pack_documents(x, VOCABULARY, capacity=64, group_docs=32).collect())) for x in (docs.coalesce(1), docs.repartition(5).orderBy(F.rand(3)))]
+    assert packed[0] == packed[1] and len({r for r in packed[0]}) == len(packed[0])
+
+
 def test_padding(spark):
     docs = spark.createDataFrame([(1, "a b c"), (2, "a b")], "doc_id long, text string")
     packed = packing.pack_documents(docs, VOCABULARY, capacity=4, with_ids=True)
