@@ -150,12 +150,18 @@ def linked_views(violations: DataFrame, images: DataFrame) -> DataFrame:
 
 
 def ranked_owners(inspections: DataFrame) -> DataFrame:
-    """Ours: owners by rate, best first."""
+    """Ours: owners by rate, best first.
+
+    A rate has one decimal, so there are 1,001 of them at most: their owners are counted, the window runs over those
+    counts alone, and the ranks go back to the owners.
+    """
     from pyspark.sql import Window
 
     per = inspections.groupBy("inspector_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("overall_status") == "Compliant").alias("compliant"))
     per = per.withColumn("compliance_rate", _rate(F.col("compliant"), F.col("total")))
-    return per.withColumn("rank", F.rank().over(Window.orderBy(F.desc("compliance_rate"))))
+    better = F.sum("n").over(Window.orderBy(F.desc("compliance_rate")).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = per.groupBy("compliance_rate").agg(F.count(F.lit(1)).alias("n")).select("compliance_rate", (F.coalesce(better, F.lit(0)) + 1).alias("rank"))
+    return per.join(F.broadcast(ranks), "compliance_rate").select("inspector_id", "total", "compliant", "compliance_rate", "rank")
 
 
 def rolling_rate(inspections: DataFrame, rows: int = 10) -> DataFrame:

@@ -16,7 +16,8 @@ def class_id(c: Column) -> Column:
 
 def is_validation(key: Column, share: float = 0.15, seed: int = 42) -> Column:
     """Whether a row is of the validation part; depends on key and seed alone, so that it holds as rows are added."""
-    return F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(10_000)) < int(share * 10_000)
+    digest = F.md5(F.concat_ws("/", key.cast("string"), F.lit(str(seed))).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10_000 < int(share * 10_000)
 
 
 def label_lines(blocks: DataFrame, key: str = "id") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import extract, metrics, profile, rules, text, vision
-from .operators import boxes, consensus, dashboards, frames, merge, reports, training
+from .operators import boxes, consensus, dashboards, frames, images, merge, reports, training
 from .plans.inspection import inspect
 from .sources import demo, dimensions, facts, labels, tables
 from .streaming import ingest
@@ -259,10 +259,15 @@ def validated_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("k", lic["value"].alias("license"), lic["valid"].alias("license_valid"), qty["value"].alias("quantity"), qty["valid"].alias("quantity_valid"), pri["value"].alias("price"), pri["amount"].alias("amount"), day["value"].alias("date"), day["valid"].alias("date_valid"))
 
 
-@query("SELECT p_partkey AS k, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS similarity FROM part")
+@query(
+    """WITH w AS (SELECT p_partkey AS k, p_name, p_type, list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: x <> '')) AS a, list_distinct(list_filter(string_split(lower(p_name || ' Salt'), ' '), lambda x: x <> '')) AS b FROM part)
+    SELECT k, round(1 - levenshtein(p_name, p_type) / greatest(length(p_name), length(p_type)), 6) AS similarity, round(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), 6) AS of_words FROM w"""
+)
 def text_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T12, U2."""
-    return _parts(spark, sf_dir).select("k", F.round(text.similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"))
+    """Short texts by distance, texts of over 500 characters by their words."""
+    long = lambda *c: F.repeat(F.concat_ws(" ", *c, F.lit(" ")), 120)
+    words = text.similarity(long("p_name", "p_type"), long(F.upper("p_name"), F.lit("Salt")))
+    return _parts(spark, sf_dir).select("k", F.round(text.similarity(F.col("p_name"), F.col("p_type")), 6).alias("similarity"), F.round(words, 6).alias("of_words"))
 
 
 @query(
@@ -395,7 +400,11 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
       WHEN 'manufacture_date' THEN 'local_exclusive'
       WHEN 'customer_care' THEN CASE WHEN no_care THEN 'vision_exclusive' ELSE 'verified' END
       WHEN 'fssai_license' THEN CASE WHEN k % 4 = 0 THEN CASE WHEN no_license THEN 'none' ELSE 'local_exclusive' END WHEN no_license THEN 'vision_exclusive' ELSE 'verified' END
-      ELSE CASE WHEN no_country THEN 'vision_exclusive' ELSE 'verified' END END AS consensus
+      ELSE CASE WHEN no_country THEN 'vision_exclusive' ELSE 'verified' END END AS consensus,
+      CASE f WHEN 'manufacturer_details' THEN maker || ' Foods' WHEN 'net_quantity' THEN p_size::VARCHAR || ' g'
+      WHEN 'mrp' THEN '₹ ' || money || CASE WHEN k % 2 = 0 THEN ' (incl. of all taxes)' ELSE ' (taxes NOT declared)' END
+      WHEN 'manufacture_date' THEN CASE WHEN bad_date THEN uncertain ELSE month END WHEN 'customer_care' THEN 'Email: ' || email
+      WHEN 'fssai_license' THEN CASE WHEN k % 4 <> 0 OR NOT no_license THEN license END ELSE country END AS value
     FROM p, (SELECT unnest(['manufacturer_details', 'net_quantity', 'mrp', 'manufacture_date', 'customer_care', 'fssai_license', 'country_of_origin']) AS f)"""
 )
 def engine_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -403,7 +412,7 @@ def engine_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     local = extract.extract_fields(labels.labels(spark, sf_dir)).select("product_id", F.col("fields").alias("local"))
     answers = _answers(spark, sf_dir).select("product_id", vision.adapt(F.from_json(vision.fenced_json(F.col("answer")), vision.ANSWER)).alias("vision"))
     both = local.join(answers, "product_id").select("product_id", F.inline(text.once(vision.consensus(F.col("vision"), F.col("local")))))
-    return both.select("product_id", "field", "consensus")
+    return both.select("product_id", "field", "consensus", "value")
 
 
 @query(
@@ -417,11 +426,12 @@ def fenced_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("k", F.get_json_object(vision.fenced_json(F.col("raw")), "$.k").cast("long").alias("parsed"), vision.analysis(F.col("raw"))["source"].alias("source"))
 
 
-@query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY 1")
+@query("SELECT event_type, count(*) AS n, sum(CAST(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total, sum(len(json_keys(props)))::BIGINT AS n_keys FROM events GROUP BY 1")
 def event_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Properties of events as maps, without metadata keys."""
-    props = dashboards.without_metadata(F.from_json("props", "map<string,string>"))
-    return tables.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.try_element_at(props, F.lit("k")).cast("long")).alias("total"))
+    """Properties of events as maps; metadata keys, which are put there first, are gone."""
+    given = F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("_source"), F.col("event_type"), F.lit("__k"), F.lit("7")))
+    props = dashboards.without_metadata(given)
+    return tables.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.try_element_at(props, F.lit("k")).cast("long")).alias("total"), F.sum(F.size(props)).alias("n_keys"))
 
 
 # Several readings.
@@ -462,12 +472,13 @@ def region_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT user_id, round(coalesce(avg(CASE WHEN value / 100 >= 0.35 THEN value / 100 END), avg(value / 100)), 6) AS confidence FROM events GROUP BY 1"""
+    """WITH b AS (SELECT event_id, unnest([value / 93, (event_id % 100) / 97, (event_id % 35) / 89]) AS c FROM events)
+    SELECT event_id, round(coalesce(avg(CASE WHEN c >= 0.35 THEN c END), avg(c)), 3) AS confidence FROM b GROUP BY 1"""
 )
 def block_confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A7 over rows: the mean of confident blocks, else of all."""
-    c = F.col("value") / 100
-    return tables.table(spark, sf_dir, "events").groupBy("user_id").agg(F.round(F.coalesce(F.avg(F.when(c >= 0.35, c)), F.avg(c)), 6).alias("confidence"))
+    """The mean of a reading's confident blocks, else of all."""
+    blocks = F.array(*(F.struct(c.alias("confidence")) for c in (F.col("value") / 93, F.col("event_id") % 100 / 97, F.col("event_id") % 35 / 89)))
+    return tables.table(spark, sf_dir, "events").select("event_id", consensus.block_confidence(blocks, F.lit(0.0)).alias("confidence"))
 
 
 # Metrics, frames, boxes.
@@ -595,11 +606,36 @@ def top_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return per.select("id", F.posexplode(boxes.top_regions(F.col("r"))).alias("position", "b")).select("id", "position", "b.box_id")
 
 
-@query()
+# A fold over boxes in reading order: the last cluster takes in the next box if they touch.
+FOLD = """list_reduce(list_transform(o, lambda b: [b]), lambda d, n: CASE WHEN n[1].x1 <= d[-1].x2 + {0} AND n[1].x2 >= d[-1].x1 - {0} AND n[1].y1 <= d[-1].y2 + {1} AND n[1].y2 >= d[-1].y1 - {1}
+      THEN list_append(d[:len(d) - 1], {{'y1': least(d[-1].y1, n[1].y1), 'x1': least(d[-1].x1, n[1].x1), 'x2': greatest(d[-1].x2, n[1].x2), 'y2': greatest(d[-1].y2, n[1].y2)}}) ELSE list_concat(d, n) END)"""
+READ = ", o AS (SELECT id, list({'y1': y1, 'x1': x1, 'x2': x2, 'y2': y2} ORDER BY y1, x1, x2, y2) AS o FROM b GROUP BY id)"
+
+
+@query(
+    BOXES + READ + f""", c AS (SELECT id, 'cluster' AS kind, {FOLD.format(15, 8)} AS c FROM o UNION ALL SELECT id, 'close', {FOLD.format(10, 10)} FROM o)
+    SELECT id, kind, (unnest(range(0, len(c))))::INT AS position, unnest(c, recursive := true) FROM c"""
+)
 def box_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Clusters and close boxes of each picture; ordered folds, which tests hold against loops."""
+    """Clusters and close boxes of each picture."""
     per = facts.boxes(spark, sf_dir).groupBy("id").agg(F.collect_list(F.struct("x1", "y1", "x2", "y2")).alias("b"))
-    return per.select("id", F.size(boxes.cluster(F.col("b"))).cast("long").alias("n_clusters"), F.size(boxes.merge_close(F.col("b"))).cast("long").alias("n_close"), F.size("b").cast("long").alias("n_boxes"))
+    kinds = F.array(*(F.struct(F.lit(n).alias("kind"), f(F.col("b")).alias("c")) for n, f in (("cluster", boxes.cluster), ("close", boxes.merge_close))))
+    return per.select("id", F.inline(text.once(kinds))).select("id", "kind", F.posexplode("c").alias("position", "x")).select("id", "kind", "position", "x.*")
+
+
+@query(
+    BOXES + """, o AS (SELECT id, list({'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'n': box_id} ORDER BY box_id) AS o FROM b GROUP BY id),
+    k AS (SELECT id, list_reduce(list_transform(o, lambda b: [b]), lambda d, n: CASE WHEN len(list_filter(d, lambda k: greatest(0, least(n[1].x2, k.x2) - greatest(n[1].x1, k.x1)) * greatest(0, least(n[1].y2, k.y2) - greatest(n[1].y1, k.y1)) > 0.6 * greatest(1, (n[1].x2 - n[1].x1) * (n[1].y2 - n[1].y1)))) > 0
+      THEN d ELSE list_concat(d, n) END) AS k, len(o) AS n FROM o)
+    SELECT id, (unnest(range(0, len(k))))::INT AS position, (unnest(k)).n AS box_id, CASE WHEN n >= 80 THEN 'first' WHEN id % 2 = 0 THEN 'second' WHEN id % 3 = 0 THEN 'third' ELSE 'none' END AS detector FROM k"""
+)
+def uncovered_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I8: boxes of a picture that no earlier one covers, and the first detector that finds enough."""
+    per = facts.boxes(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("box_id", "x1", "y1", "x2", "y2"))).alias("b"))
+    found = lambda n, enough: F.when(enough, F.array(F.lit(n), F.lit(n))).otherwise(F.array(F.lit("one")))
+    which = metrics.detector(found("first", F.size("b") >= 80), found("second", F.col("id") % 2 == 0), found("third", F.col("id") % 3 == 0))
+    rows = per.select("id", F.coalesce(F.get(which, F.lit(0)), F.lit("none")).alias("detector"), F.posexplode(text.once(boxes.without_covered(F.col("b")))).alias("position", "x"))
+    return rows.select("id", "position", "x.box_id", "detector")
 
 
 @query(
@@ -615,21 +651,22 @@ def training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.label_lines(b).select(F.col("id").alias("box_id"), "class", *(F.round(c, 6).alias(c) for c in ("cx", "cy", "w", "h")))
 
 
-@query()
+@query("SELECT o_orderkey AS id, ('0x' || md5(o_orderkey::VARCHAR || '/42')[1:8])::BIGINT % 10000 < 1500 AS is_validation FROM orders")
 def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The split by hash, which DuckDB has not."""
-    return facts.inspections(spark, sf_dir).groupBy(training.is_validation(F.col("id")).alias("is_validation")).count()
+    """The split by a hash of key and seed."""
+    return facts.inspections(spark, sf_dir).select("id", training.is_validation(F.col("id")).alias("is_validation"))
 
 
 @query(
     PARTS
-    + """, z AS (SELECT k, CASE WHEN no_maker THEN 0 ELSE 1 END + CASE WHEN no_license THEN 0 ELSE 1 END + CASE WHEN bad_date THEN 0 ELSE 1 END + CASE WHEN comma_price THEN 0 ELSE 1 END + CASE WHEN bad_unit THEN 0 ELSE 1 END AS n FROM p)
-    SELECT k AS product_id, n::BIGINT AS n_zones FROM z"""
+    + """, z AS (SELECT k, unnest(list_filter([{'f': NOT no_maker, 'class': 'manufacturer', 'cx': 0.3, 'cy': 0.65, 'w': 0.55, 'h': 0.25}, {'f': NOT no_license, 'class': 'date_fssai', 'cx': 0.5, 'cy': 0.82, 'w': 0.9, 'h': 0.14},
+      {'f': NOT bad_date, 'class': 'date_fssai', 'cx': 0.5, 'cy': 0.82, 'w': 0.9, 'h': 0.14}, {'f': NOT comma_price, 'class': 'mrp_quantity', 'cx': 0.75, 'cy': 0.45, 'w': 0.4, 'h': 0.15}, {'f': NOT bad_unit, 'class': 'mrp_quantity', 'cx': 0.75, 'cy': 0.45, 'w': 0.4, 'h': 0.15}], lambda x: x.f)) AS z FROM p)
+    SELECT k AS product_id, z.class AS class, z.cx::DOUBLE AS cx, z.cy::DOUBLE AS cy, z.w::DOUBLE AS w, z.h::DOUBLE AS h FROM z"""
 )
 def zone_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K9: zones of fields that were found."""
     found = extract.extract_fields(labels.labels(spark, sf_dir))
-    return found.select("product_id", F.size(metrics.zone_boxes(F.col("fields"))).cast("long").alias("n_zones"))
+    return found.select("product_id", F.inline(text.once(metrics.zone_boxes(F.col("fields")))))
 
 
 @query(
@@ -742,11 +779,27 @@ def inspection_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dashboards.by_id(facts.inspections(spark, sf_dir), 42).select("id", "brand")
 
 
-@query(FACTS + "SELECT id, (SELECT count(*) FROM violations WHERE inspection_id = id) AS n_violations FROM inspections")
+@query(FACTS + "SELECT id, count(rule_code) AS n_violations, coalesce(string_agg(rule_code || ' ' || status, ', ' ORDER BY rule_code, status), '') AS results FROM inspections LEFT JOIN violations ON inspection_id = id GROUP BY id")
 def inspections_with_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JN3."""
+    """JN3: results in order of rule."""
     rows = dashboards.with_violations(facts.inspections(spark, sf_dir), facts.violations(spark, sf_dir))
-    return rows.select("id", F.coalesce(F.size("violations"), F.lit(0)).cast("long").alias("n_violations")).withColumn("n_violations", F.greatest("n_violations", F.lit(0).cast("long")))
+    own = F.coalesce("violations", F.array().cast("array<struct<rule_code:string,status:string>>"))
+    return rows.select("id", F.size(own).cast("long").alias("n_violations"), F.array_join(F.transform(own, lambda v: F.concat_ws(" ", v["rule_code"], v["status"])), ", ").alias("results"))
+
+
+@query(
+    FACTS
+    + """, v AS (SELECT CASE WHEN l_partkey % 50 = 0 THEN 'XX-' || l_linenumber::VARCHAR ELSE 'LM-0' || l_linenumber::VARCHAR END AS rule_code, CASE WHEN l_suppkey % 10 <> 0 THEN CASE WHEN l_returnflag = 'R' THEN 'Fail' ELSE 'Pass' END END AS status FROM lineitem WHERE l_linenumber <> 7)
+    SELECT coalesce(r.rule_code, v.rule_code) AS rule_code, coalesce(description, v.rule_code) AS description, coalesce(sum((status = 'Fail')::INT), 0)::BIGINT AS fail_count, (count(v.rule_code) - coalesce(sum((status = 'Fail')::INT), 0))::BIGINT AS pass_count
+    FROM rules r FULL JOIN v ON r.rule_code = v.rule_code GROUP BY 1, 2"""
+)
+def breakdown_of_unknown_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN4: codes that no rule has describe themselves, a rule without results has none, a null status is no failure."""
+    line = F.col("l_linenumber").cast("string")
+    code = F.when(F.col("l_partkey") % 50 == 0, F.concat(F.lit("XX-"), line)).otherwise(F.concat(F.lit("LM-0"), line))
+    status = F.when(F.col("l_suppkey") % 10 != 0, F.when(F.col("l_returnflag") == "R", "Fail").otherwise("Pass"))
+    rows = tables.table(spark, sf_dir, "lineitem").filter("l_linenumber <> 7").select(code.alias("rule_code"), status.alias("status"))
+    return dashboards.breakdown(rows, dimensions.rules(spark))
 
 
 @query(FACTS + "SELECT inspection_id, sum((status = 'Pass')::INT)::BIGINT AS passed, sum((status = 'Fail')::INT)::BIGINT AS failed FROM violations GROUP BY 1")
@@ -805,13 +858,76 @@ def report_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.checklist(rules.violations(evaluated, "product_id"), "product_id").select("product_id", "rule_code", "status", "detected")
 
 
+@query(
+    ADDITIVE_TRUTH
+    + """SELECT k AS product_id, (CASE WHEN identifier = 'INS 471' THEN 0 WHEN identifier = 'INS 412' THEN 2 ELSE 1 END)::INT AS position, identifier, risk_level, CASE WHEN recognized THEN 'known' ELSE 'unknown' END AS known FROM a"""
+)
+def report_additives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's additives, codes in order of the text, then named ones."""
+    rows = reports.additive_section(profile.profile(labels.compositions(spark, sf_dir)))
+    return rows.select("product_id", "position", "identifier", "risk_level", F.when(F.col("recognized"), "known").otherwise("unknown").alias("known"))
+
+
+@query(
+    """SELECT p_partkey AS product_id, 0::INT AS position, 'Soy' AS allergen, 'Moderate' AS severity, true AS is_explicit FROM part WHERE p_partkey % 2 = 0
+    UNION ALL SELECT p_partkey, (1 - p_partkey % 2)::INT, 'Wheat', 'High', p_partkey % 2 = 0 FROM part"""
+)
+def report_allergens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's allergens, declared ones first."""
+    rows = reports.allergen_section(profile.profile(labels.compositions(spark, sf_dir)))
+    return rows.select("product_id", "position", "allergen", "severity", "is_explicit")
+
+
+# A label with one line shows what is found without its cue.
+SPARSE = """
+WITH t AS (SELECT p_partkey AS k, p_partkey % 8 AS c, printf('%.2f', p_retailprice) AS money, lpad((p_partkey % 10000)::VARCHAR, 4, '0') AS four, p_partkey % 90 + 10 AS n FROM part)
+SELECT k AS product_id, CASE c WHEN 0 THEN 'manufacturer_details' WHEN 1 THEN 'mrp' WHEN 2 THEN 'customer_care' WHEN 3 THEN 'customer_care' WHEN 4 THEN 'country_of_origin' WHEN 5 THEN 'manufacture_date' WHEN 6 THEN 'net_quantity' ELSE 'fssai_license' END AS field,
+  CASE c WHEN 0 THEN 'Acme Kitchen Industries Road' WHEN 1 THEN '₹ ' || money || ' (unverified MRP tag)' WHEN 2 THEN 'Phone: 1800-123-' || four WHEN 3 THEN 'Email: care' || k::VARCHAR || '@example.com' WHEN 4 THEN 'India'
+    WHEN 5 THEN lpad((k % 12 + 1)::VARCHAR, 2, '0') || '/2024' WHEN 6 THEN n::VARCHAR || ' pcs' ELSE '1' || lpad(k::VARCHAR, 13, '0') END AS value,
+  CASE WHEN c IN (4, 6, 7) THEN 'found' ELSE 'low_confidence' END AS status FROM t
+"""
+
+
+@query(SPARSE)
+def fallback_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A company without a cue, a bare price, one contact of two, a home country, a date, a quantity and a licence alone."""
+    k = F.col("k")
+    line = (
+        F.when(k % 8 == 0, "Acme Kitchen Industries Road").when(k % 8 == 1, F.concat(F.lit("Rs. "), "money")).when(k % 8 == 2, F.concat(F.lit("call 1800-123-"), F.lpad((k % 10000).cast("string"), 4, "0")))
+        .when(k % 8 == 3, F.concat(F.lit("care"), k.cast("string"), F.lit("@example.com"))).when(k % 8 == 4, "Bharat farm").when(k % 8 == 5, F.format_string("%02d/2024", (k % 12 + 1).cast("int")))
+        .when(k % 8 == 6, F.concat((k % 90 + 10).cast("string"), F.lit(" pcs"))).otherwise(F.concat(F.lit("1"), F.lpad(k.cast("string"), 13, "0")))
+    )
+    found = extract.extract_fields(_parts(spark, sf_dir).select(k.alias("product_id"), line.alias("text")))
+    rows = F.array(*(F.struct(F.lit(n).alias("field"), F.col("fields")[n]["value"].alias("value"), F.col("fields")[n]["status"].alias("status")) for n in extract.FIELDS))
+    return found.select("product_id", F.inline(text.once(rows))).filter("status <> 'not_found'")
+
+
+@query("SELECT p_partkey AS product_id, p_partkey % 2 = 0 AS found, CASE WHEN p_partkey % 2 = 0 THEN 'salt, palm oil' ELSE '' END AS raw_text, CASE WHEN p_partkey % 2 = 0 THEN 'Salt, Palm Oil' ELSE '' END AS names FROM part")
+def inferred_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3: two common words stand for a list without a heading; one does not."""
+    line = F.when(F.col("k") % 2 == 0, "made with PALM OIL and salt").otherwise("a pinch of salt")
+    rows = _parts(spark, sf_dir).select(F.col("k").alias("product_id"), profile.ingredients(line).alias("i"))
+    return rows.select("product_id", "i.found", "i.raw_text", F.array_join(F.transform("i.items", lambda x: x["name"]), ", ").alias("names"))
+
+
+@query(
+    """WITH p AS (SELECT p_partkey AS image_id, (p_partkey % 200)::DOUBLE AS a, (p_partkey * 7 % 256)::DOUBLE AS b, 16.0 AS w FROM part)
+    SELECT image_id, round(4 * (b - a) * (b - a), 4) AS sharpness, round((a + b) / 2, 4) AS brightness, round(abs(b - a) / 2, 4) AS contrast, ((a > 252)::INT + (b > 252)::INT) / 2 AS glare_fraction, round(abs(b - a) * sqrt(2 / w * (1 - 2 / w)), 4) AS noise FROM p"""
+)
+def picture_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of pictures of upright stripes, one pixel wide, whose values are known by formula."""
+    two = F.concat(F.lpad(F.hex(F.col("p_partkey") % 200), 2, "0"), F.lpad(F.hex(F.col("p_partkey") * 7 % 256), 2, "0"))
+    rows = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("image_id"), F.lit(16).alias("width"), F.lit(16).alias("height"), F.unhex(F.repeat(two, 128)).alias("pixels"))
+    return images.image_metrics(rows).select("image_id", *(F.round(c, 4).alias(c) for c in ("sharpness", "brightness", "contrast")), "glare_fraction", F.round("noise", 4).alias("noise"))
+
+
 # Ours: windows, rollups, streams.
 
 
-@query(FACTS + "SELECT inspector_id, count(*) AS total, sum((overall_status = 'Compliant')::INT)::BIGINT AS compliant, round(sum((overall_status = 'Compliant')::INT) / count(*) * 100, 1) AS compliance_rate FROM inspections GROUP BY 1")
+@query(FACTS + "SELECT *, rank() OVER (ORDER BY compliance_rate DESC) AS rank FROM (SELECT inspector_id, count(*) AS total, sum((overall_status = 'Compliant')::INT)::BIGINT AS compliant, round(sum((overall_status = 'Compliant')::INT) / count(*) * 100, 1) AS compliance_rate FROM inspections GROUP BY 1)")
 def owner_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rates of all owners."""
-    return dashboards.ranked_owners(facts.inspections(spark, sf_dir)).drop("rank")
+    """Rates of all owners, with their ranks."""
+    return dashboards.ranked_owners(facts.inspections(spark, sf_dir))
 
 
 @query(FACTS + "SELECT id, inspector_id, round(avg((overall_status = 'Compliant')::INT) OVER (PARTITION BY inspector_id ORDER BY created_at, id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) * 100, 1) AS rolling_rate FROM inspections")

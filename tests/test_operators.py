@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelwright import queries
-from labelwright.operators import boxes, frames, images
+from labelwright.operators import boxes, consensus, dashboards, frames, images, training
+from labelwright.plans import dashboard
 from labelwright.sources import sinks, tables
 from labelwright.streaming import ingest
 
@@ -74,6 +75,37 @@ def test_sink(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "i")).filter("created_date = '2024-01-02'").count() == 1
 
 
+def test_findings_sink(spark, tmp_path):
+    df = spark.createDataFrame([(1, "LM-01", "Pass"), (1, "LM-02", "Fail")], "inspection_id long, rule_code string, status string")
+    sinks.write_violations(df, str(tmp_path / "v"))
+    assert [r["status"] for r in spark.read.parquet(str(tmp_path / "v")).filter("rule_code = 'LM-02'").collect()] == ["Fail"]
+
+
+def test_label_files(spark, tmp_path):
+    blocks = spark.createDataFrame([(1, "MRP 5", 0, 0, 100, 50, 200, 100), (1, "x", 0, 0, 2, 2, 200, 100), (2, "best before", 100, 50, 200, 100, 200, 100)], "id long, text string, x1 int, y1 int, x2 int, y2 int, width int, height int")
+    training.write_label_files(training.label_lines(blocks), str(tmp_path / "l"))
+    assert {r["id"]: r["label"] for r in spark.read.parquet(str(tmp_path / "l")).collect()} == {1: "2 0.250000 0.250000 0.500000 0.500000", 2: "3 0.750000 0.750000 0.500000 0.500000"}
+
+
+def test_dashboard_by_role(spark):
+    rows = [(1, 7, "Compliant", 100.0), (2, 7, "Non-Compliant", 50.0), (3, 8, "Compliant", 90.0)]
+    inspections = spark.createDataFrame(rows, "id long, inspector_id long, overall_status string, compliance_score double").withColumn("created_at", F.to_timestamp(F.lit("2024-01-01"))).withColumn("product_name", F.lit("p"))
+    violations = spark.createDataFrame([(1, "LM-01", "Pass"), (3, "LM-01", "Fail")], "inspection_id long, rule_code string, status string")
+    rules, users = spark.createDataFrame([("LM-01", "d")], "rule_code string, description string"), spark.createDataFrame([(7, "a", "a@x", "inspector"), (8, "b", "b@x", "viewer")], "id long, name string, email string, role string")
+    show = lambda who, own=None: dashboard.dashboard(inspections, violations, rules, users, who, own)
+    seen = {role: show(dashboards.Principal(7, role)) for role in ("inspector", "viewer", "admin")}
+    assert [seen[r]["totals"].first()["total"] for r in ("inspector", "viewer", "admin")] == [2, 3, 3]
+    assert [("progress" in seen[r]) for r in ("inspector", "viewer", "admin")] == [False, False, True]
+    assert seen["inspector"]["breakdown"].first()["fail_count"] == 0 and seen["viewer"]["breakdown"].first()["fail_count"] == 1
+    assert show(dashboards.Principal(1, "admin"), 8)["totals"].first()["total"] == 1 and seen["inspector"]["trend"].count() == 2
+
+
+def test_collected_passes(spark):
+    rows = spark.createDataFrame([(1, 1, "MRP Rs. 5", 0.5), (1, 0, "MRP Rs. 5.00 incl. of all taxes", 0.9)], "product_id long, pass_ord int, text string, confidence double").withColumn("blocks", F.array().cast("array<struct<text:string,confidence:double,source_pass:string>>"))
+    found = consensus.consensus(consensus.collect_passes(rows)).first()
+    assert found["raw_text"].startswith("MRP Rs. 5.00") and found["confidence"] == 0.9
+
+
 def test_stream(spark, tmp_path):
     rows = [(i, "B", "Front", f"MRP Rs. {i + 5}.00" + " incl. of all taxes" * (i % 2), True, f"2024-01-01 00:0{i}:00") for i in range(6)]
     df = spark.createDataFrame(rows, "product_id long, brand string, view string, text string, is_food boolean, t string").withColumn("ts", F.to_timestamp("t")).drop("t")
@@ -86,7 +118,7 @@ def test_stream(spark, tmp_path):
     assert out.count() == 42 and out.filter("rule_code = 'LM-03' AND status = 'Pass'").count() == 3
 
 
-QUICK = ["dashboard_totals", "dashboard_breakdown", "dashboard_trend", "inspection_page", "status_rollup", "windowed_findings", "gated_frames", "top_regions", "parsed_view_labels"]
+QUICK = ["dashboard_totals", "dashboard_breakdown", "dashboard_trend", "inspection_page", "status_rollup", "windowed_findings", "gated_frames", "top_regions", "parsed_view_labels", "box_clusters", "uncovered_boxes", "owner_rates", "breakdown_of_unknown_codes", "picture_metrics", "validation_split", "block_confidences"]
 
 
 @pytest.mark.parametrize("name", QUICK)
