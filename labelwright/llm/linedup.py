@@ -23,7 +23,9 @@ def _digest(c: Column) -> Column:
 
 def line_table(docs: DataFrame, site: str = "source", text: str = "text") -> DataFrame:
     """A row per line that has a word: the text's digest, the line's place and digest, the site (null: one site, '')."""
-    rows = docs.filter(docs[text].isNotNull()).select(_digest(docs[text]).alias(TEXT), F.coalesce(docs[site], F.lit("")).alias(SITE), F.posexplode(F.split(docs[text], "\n")).alias(POS, LINE))
+    # The text's digest is taken below the explode, or it would be taken again for every line.
+    held = docs.filter(docs[text].isNotNull()).select(_digest(docs[text]).alias(TEXT), F.coalesce(docs[site], F.lit("")).alias(SITE), docs[text].alias(KEY))
+    rows = held.select(TEXT, SITE, F.posexplode(F.split(KEY, "\n")).alias(POS, LINE))
     return rows.filter(F.col(LINE).rlike(NOT_SPACE)).withColumn(LINE, _digest(F.col(LINE)))
 
 
@@ -43,10 +45,11 @@ def spread_lines(lines: DataFrame, min_sites: int = 10, lg_k: int = 12, margin:
 
 
 def _without(parts: Column, places: Column) -> Column:
-    """The array without the elements at the given sorted places: the slices between them, one after another."""
+    """The array without the elements at the given sorted places: a mask is laid out between them, then asked once an element."""
     before = F.concat(F.array(F.lit(-1)), places)
     after = F.concat(places, F.array(F.size(parts)))
-    return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(parts, a + 2, b - a - 1)))
+    mask = F.flatten(F.zip_with(before, after, lambda a, b: F.concat(F.array_repeat(F.lit(False), b - a - 1), F.array(F.lit(True)))))
+    return let(mask, lambda m: F.filter(parts, lambda _, i: ~F.get(m, i)))
 
 
 def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = 10, keep_wholly_spread: bool = False, total_as: str = "line_total", removed_as: str = "line_removed", wholly_as: str = "wholly_spread") -> DataFrame:
@@ -75,7 +78,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_s
     counted = joined.withColumns({PREFIX + "total": n_lines, PREFIX + "hits": F.when(hit, F.size(POS)).otherwise(0).cast("long")})
     wholly = hit & (F.col(PREFIX + "hits") == F.col(PREFIX + "total"))
     cut = hit & ~wholly if keep_wholly_spread else hit
-    rest = F.array_join(let(parts, lambda x: _without(x, F.col(POS))), "\n")
+    rest = F.array_join(_without(parts, F.col(POS)), "\n")
     out = {c: F.when(cut, rest).otherwise(F.col(c)) if c == text else F.col(c) for c in docs.columns if c not in (total_as, removed_as, wholly_as)}
     return counted.select(
         *(v.alias(k) for k, v in out.items()),
