@@ -7,8 +7,8 @@ expected size, and groups pack independently.
 
 from __future__ import annotations
 
+import json
 import re
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -26,9 +26,6 @@ CACHE_BYTES = 40 << 20
 NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw")
 
 
-_PACK = [struct.Struct(f"<{n}I").pack for n in range(64)]
-
-
 def windows(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
     """The text in parts of about ``size`` bytes that end between chunks, so that a long one isn't split all at once."""
     at = 0
@@ -42,14 +39,59 @@ def windows(text: bytes, size: int = 1 << 20) -> Iterator[bytes]:
 _SPACE = re.compile(rb"\s")
 
 
+#: Stands for a word's end inside :class:`Merges`; no printable character.
+END = b"\x01"
+
+
+class Merges:
+    """The vocabulary's merges over many words at once, in tiktoken's merge loop.
+
+    A word's pieces are its UTF-8 bytes and an end mark, which joins the last byte first, as its token is older than any
+    merge. The tokenizers library numbers tokens in order of their merges, so the older token is the one to merge. That
+    this holds, and that both give the same ids, is checked on the vocabulary's own words when it is loaded.
+    """
+
+    def __init__(self, path: str, whole):
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+        byte = {chr(b): b for b in kept} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in kept)}
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        made = [model["vocab"][a + b] for a, b in merges]
+        ranks: dict[bytes, int] = {}
+        for token, i in model["vocab"].items():
+            body, last = token.removesuffix("</w>"), token.endswith("</w>")
+            if all(c in byte for c in body):
+                ranks[bytes(byte[c] for c in body) + END * last] = i
+        self.encode = tiktoken.Encoding("words", pat_str=r"[^\x01]+\x01", mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
+        self.final = np.zeros(max(model["vocab"].values()) + 1, dtype=bool)
+        self.final[[i for t, i in model["vocab"].items() if t.endswith("</w>")]] = True
+        words = [w for a, b in merges[:: max(1, len(merges) // 2000)] if (w := (a + b).removesuffix("</w>")).isascii() and w.isalpha()]
+        words += [a + b for a, b in zip(words, words[1:], strict=False)]
+        same = self.ids([w.encode() for w in words], [1] * len(words)) == [np.array([t.id for t in whole.model.tokenize(w)], dtype="<u4").tobytes() for w in words]
+        if made != sorted(made) or not same:
+            raise ValueError(f"the merges of {path} are not in the order of its tokens")
+
+    def ids(self, words: list[bytes], counts: list[int]) -> list[bytes]:
+        """Little-endian ids of each run of so many words; ASCII letters are lowered."""
+        found = self.encode(END.join([*words, b""]).lower().decode(), disallowed_special=()).astype("<u4", copy=False)
+        ends = np.flatnonzero(self.final[found]) + 1
+        at = [0, *(4 * ends[np.cumsum(counts) - 1]).tolist()]
+        data = found.tobytes()
+        return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 class ChunkEncoder(dict):
     """Ids of each run of bytes between white space, as little-endian bytes; itself the cache of those of under 64 bytes.
 
-    The word tokenizer drops white space, so a text's ids are its chunks' ids in order. Chunks of ASCII letters go to the
-    tokenizer's model as they are, those with a run of stops behind them as two; other chunks of printable ASCII and
-    Latin-1 letters go by the tokenizer's own word pattern first, and any other chunk goes through the whole tokenizer.
+    The word tokenizer drops white space, so a text's ids are its chunks' ids in order. Chunks of printable ASCII and
+    Latin-1 letters are cut by the tokenizer's own word pattern, those of ASCII letters and stops without it, and all new
+    ones of a text are merged at once; any other chunk goes through the whole tokenizer.
 
-    The cache has two generations: when the young one is full it becomes the old one, and what is asked for again moves up.
+    What is met a second time is stored, as most chunks come once. The cache has two generations: when the young one is
+    full it becomes the old one, and what is asked for again moves up.
     """
 
     def __init__(self, path: str):
@@ -58,47 +100,70 @@ class ChunkEncoder(dict):
 
         super().__init__()
         self.whole = Tokenizer.from_file(path)
-        self.tokenize = self.whole.model.tokenize
+        self.merges = Merges(path, self.whole)
         self.plain = regex.compile(r"[\x21-\x7e¡-¬®-ÿ]+").fullmatch
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+").findall
-        kept = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [b for b in range(256) if b not in kept]
-        self.letter = {b: chr(b) for b in kept} | {b: chr(256 + i) for i, b in enumerate(rest)}
         self.old: dict[bytes, bytes] = {}
         self.held = 0
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        if (out := self.old.get(chunk)) is None:
-            out = self.make(chunk)
-        if len(chunk) < 64:
-            self.held += 200 + len(chunk) + len(out)
-            if self.held > CACHE_BYTES:
-                self.old = dict(self)
-                self.clear()
-                self.held = 0
-            self[chunk] = out
+        self.met, self.marked = bytearray(1 << 21), 0
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of chunks that are not in the young generation."""
+        out: dict[bytes, bytes] = {}
+        plain, words, counts = [], [], []
+        for c in chunks:
+            if (ids := self.old.get(c)) is not None:
+                out[c] = ids
+                continue
+            if c.isalpha():
+                words.append(c)
+                counts.append(1)
+            elif (body := c.rstrip(b".,;:!?")).isalpha():
+                words += (body, c[len(body) :])
+                counts.append(2)
+            elif self.plain(s := c.decode("utf-8", "replace")) and "<|" not in s:
+                own = self.split(s.lower())
+                words += [w.encode() for w in own]
+                counts.append(len(own))
+            else:
+                out[c] = np.array(self.whole.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
+                continue
+            plain.append(c)
+        if plain:
+            out.update(zip(plain, self.merges.ids(words, counts), strict=True))
         return out
 
-    def make(self, chunk: bytes) -> bytes:
-        low = chunk.lower()
-        if low.isalpha():
-            return self.word(low.decode())
-        body = low.rstrip(b".,;:!?")
-        if body.isalpha():
-            return self[body] + self.word(low[len(body) :].decode())
-        s = chunk.decode("utf-8", "replace")
-        if self.plain(s) and "<|" not in s:
-            return b"".join([self.word("".join([self.letter[b] for b in w.encode()])) for w in self.split(s.lower())])
-        return np.array(self.whole.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def word(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenize(word)]
-        return _PACK[len(ids)](*ids) if len(ids) < 64 else np.array(ids, dtype="<u4").tobytes()
+    def keep(self, found: dict[bytes, bytes]) -> None:
+        """Stores short chunks that were met before, as far as a table of hashes can tell."""
+        if self.held > CACHE_BYTES:
+            self.old = dict(self)
+            self.clear()
+            self.held = 0
+        if self.marked > len(self.met) // 2:
+            self.met, self.marked = bytearray(len(self.met)), 0
+        met, mask = self.met, len(self.met) - 1
+        for c, ids in found.items():
+            if met[at := hash(c) & mask]:
+                if len(c) < 64:
+                    self[c] = ids
+                    self.held += 200 + len(c) + len(ids)
+            else:
+                met[at] = 1
+                self.marked += 1
 
     def ids(self, text: bytes) -> bytes:
-        if len(text) <= 1 << 20:
-            return b"".join(map(self.__getitem__, text.split()))
-        return b"".join([x for part in windows(text) for x in map(self.__getitem__, part.split())])
+        return self._ids(text) if len(text) <= 1 << 20 else b"".join(map(self._ids, windows(text)))
+
+    def _ids(self, text: bytes) -> bytes:
+        chunks = text.split()
+        out = list(map(self.get, chunks))
+        if None in out:
+            at = [i for i, x in enumerate(out) if x is None]
+            found = self.learn({chunks[i] for i in at})
+            for i in at:
+                out[i] = found[chunks[i]]
+            self.keep(found)
+        return b"".join(out)
 
 
 _encoders: dict[str, ChunkEncoder] = {}
