@@ -83,7 +83,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": OP2, "op9_line_dedup": OP9}
+    return {"op1_warc": OP1, "op2_quality_rules": OP2, "op9_line_dedup": OP9}
+
+
+OP1 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, strlen(h)::BIGINT AS payload_bytes, sha256(h) AS payload_digest FROM p),
+f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM d)
+SELECT page_id, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, payload_bytes, payload_digest, CASE WHEN page_id <> first THEN first END AS refers_to FROM f
+"""
 
 
 OP2 = r"""

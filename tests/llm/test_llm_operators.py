@@ -1,6 +1,7 @@
 """The operators on small tables: nulls, empty and long texts, ties, repeated rows, empty tables, clashing columns."""
 
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -263,3 +264,108 @@ def test_each_passage_has_its_own_original(spark):
     assert [(r["n_passages"], r["n_linked"], r["parent_turn"], r["reply_level"]) for r in got] == [(1, 1, 4, 1), (3, 2, 4, 1)]
     links = quotes.quote_links(spark.createDataFrame(rows[:6], "conv_id long, turn long, text string"))
     assert sorted(r["original"] for r in links.collect()) == [1, 4]
+
+
+def _linked(rows):
+    """(conversation, turn) to (passages, linked passages, parent), by plain loops."""
+    norm = lambda x: " ".join("".join(c if c.isalnum() else " " for c in x.lower()).split())
+    units = lambda bodies: {*(u := [n for b in bodies if (n := norm(b))]), *([" ".join(u)] if len(u) > 1 else [])}
+
+    def lines(text):
+        for line in text.split("\n"):
+            body = line.lstrip(" \t")
+            depth = 0
+            while body.startswith(">"):
+                depth, body = depth + 1, body[1:].removeprefix(" ")
+            yield depth, body
+
+    first, passages = {}, {}
+    for c, t, text in rows:
+        own = []
+        runs = passages[c, t] = []
+        for depth, body in lines(text):
+            if depth == 0:
+                own.append(body)
+                runs.append(None)
+            elif runs and runs[-1] and runs[-1][0] == depth:
+                runs[-1][1].append(body)
+            else:
+                runs.append((depth, [body]))
+        for u in units(own):
+            first[c, u] = min(t, first.get((c, u), t))
+    out = {}
+    for (c, t), runs in passages.items():
+        runs = [r for r in runs if r]
+        linked, level = 0, {}
+        for depth, bodies in runs:
+            votes = {}
+            for u in units(bodies):
+                if (o := first.get((c, u), t)) < t:
+                    votes[o] = votes.get(o, 0) + len(u.split())
+            if votes:
+                w, o = max((w, o) for o, w in votes.items())
+                linked += 1
+                level[depth, o] = level.get((depth, o), 0) + w
+        out[c, t] = len(runs), linked, max(((-d, w, o) for (d, o), w in level.items()), default=(0, 0, None))[2]
+    return out
+
+
+def test_quotes_against_loops(spark):
+    rnd = random.Random(12)
+    word = lambda: rnd.choice("alpha beta gamma delta eps zeta eta theta".split())
+    rows = []
+    for c in range(12):
+        said = []
+        for t in range(14):
+            own = [" ".join(word() for _ in range(rnd.randrange(2, 6))) + rnd.choice(["", "!", " ?"]) for _ in range(rnd.randrange(1, 4))]
+            parts = []
+            for _ in range(rnd.randrange(0, 4) if said else 0):
+                quoted = rnd.choice(said) if rnd.random() < 0.8 else ["never said " + word()]
+                parts += [rnd.choice([">", "> ", ">> ", "> > "]) + x.upper() for x in quoted] + ["between " + word()] * rnd.randrange(2)
+            rows.append((c, t, "\n".join(parts + own)))
+            said.append(own)
+    found = quotes.link_quotes(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert {(r["conv_id"], r["turn"]): (r["n_passages"], r["n_linked"], r["parent_turn"]) for r in found} == _linked(rows)
+    assert sum(r["n_linked"] for r in found) > 50
+
+
+def test_pseudonyms_link_equal_values_and_nothing_else(spark):
+    rnd = random.Random(3)
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    cards = [next(x for i in range(10) if pii.luhn(x := b + str(i))) for b in ("4" + digits(14) for _ in range(20))]
+    days = [f"20{rnd.randrange(10, 30)}-{rnd.randrange(1, 13):02d}-{rnd.randrange(1, 29):02d}" for _ in range(20)]
+    mails = [f"user{i}@host{i}.example.org" for i in range(20)]
+    planted = cards + days + mails
+    rows, where = [], []
+    for i in range(200):
+        own = [rnd.choice(planted) for _ in range(rnd.randrange(0, 4))]
+        noise = [rnd.choice(["plain", "words", "v1.2", "12", "3.400", "page 7"]) for _ in range(10)]
+        text = "".join(f"{n}; {v}, " for n, v in zip(noise, [*own, *[""] * 10], strict=False))
+        rows.append((i, text))
+        where.append(own)
+    got = pii.pseudonymise_documents(spark.createDataFrame(rows, "doc_id long, text string"), "k", ["doc_id"]).orderBy("doc_id").collect()
+    image = {}
+    for (_, text), own, r in zip(rows, where, got, strict=True):
+        assert [text[s["start"] : s["end"]] for s in r["spans"]] == own
+        fields = [x.strip() for x in r["clean_text"].replace(";", ",").split(",")]
+        for v, new in zip(own, fields[1::2], strict=False):
+            assert image.setdefault(v, new) == new
+    assert len(set(image.values())) == len(image)
+
+
+def test_languages_of_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found = langid.identify(docs.withColumn("score", F.lit("x")), langid.train(docs), ["doc_id", "lang"]).filter("lang IS NOT NULL AND crc32(CAST(CAST(doc_id AS STRING) AS BINARY)) % 4 = 2 AND lang_pred <> 'und'").collect()
+    assert len(found) > 100 and sum(r["lang"] == r["lang_pred"] for r in found) >= 0.95 * len(found)
+
+
+def test_decoding_against_a_plain_loop():
+    rng = np.random.default_rng(4)
+    langs = list("abcde")
+    codes = langid.codewords(5)
+    width = codes.shape[1]
+    model = langid.Model(langs, codes, np.zeros((width, 1), np.float32), rng.random(width) + 0.5, rng.random(width) + 0.1)
+    for _ in range(200):
+        m = rng.normal(size=width)
+        loss = [sum(model.trust[b] * np.log1p(np.exp(-2 * codes[i, b] * m[b] * model.scale[b])) for b in range(width)) for i in range(5)]
+        assert model.decode(m)[0] == langs[int(np.argmin(loss))]

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline as cp
 
 BASE = " ".join(f"w{i}" for i in range(60))
@@ -41,3 +43,27 @@ def test_null_ids_are_judged_by_their_texts(spark, tmp_path):
     assert (1, BASE) in got and (2, "one two three four") in got and len(got) == 7
     left = cp.benchmark_decontamination(spark, docs, str(tmp_path))
     assert left.columns == docs.columns and left.count() == len(rows) - 1 and not left.filter(left.text.contains("q5")).count()
+
+
+EDGES = [(1, BASE, "en", "s", 1), (1, BASE, "en", "s", 1), (None, None, None, None, None), (2, None, "en", "s", 0), (3, "", "en", None, 0), (4, " \n ", "en", "s", 3), (None, BASE, None, None, 9)]
+EDGES += [(5, "x " + " ".join(f"z{i}" for i in range(20_000)), "en", "s", 1), (6, " ".join(f"y{i}" for i in range(30)), "en", "s", 1), (6, " ".join(f"y{i}" for i in range(30)), "en", "t", 1)]
+CLASH = ("count", "host", "kept", "digest", "sid", "path", "start", "item_id", "line_removed", "wholly_spread", "draw", "copies", "group_id")
+
+
+def test_stages_with_nulls_repeats_long_texts_and_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame(EDGES, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit("own").alias(c) for c in CLASH))
+    spark.createDataFrame([(0, " ".join(f"y{i}" for i in range(5, 25))), (1, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {"quality_rules": [1, 1, 5, 6, 6], "line_dedup": [None, None, 1, 1, 2, 3, 4, 5, 6, 6], "near_duplicates": [None, 1, 2, 3, 4, 5, 6], "benchmark_decontamination": [None, None, 1, 1, 2, 3, 4, 5]}
+    key = lambda x: (x is not None, x)
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert sorted((r["doc_id"] for r in rows), key=key) == kept[name], name
+        assert all(r[c] == "own" for r in rows for c in CLASH)
+        none = stage(spark, docs.limit(0), str(tmp_path))
+        assert none.columns == docs.columns and none.count() == 0
+    pieces = cp.STAGES[-1][1](spark, docs, str(tmp_path))
+    whole = pieces.groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r["doc_id"] for r in whole} == {None, 1, 2, 3, 4, 5, 6} and next(r["n"] for r in whole if r["doc_id"] == 2) == 1
+    assert cp.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
