@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import UNCERTAIN, canonical_unit, clean_lines, fix_digits, fix_unit, fix_words, is_unit, let, once, split_lines, squeeze, strip, title
+from .text import UNCERTAIN, built, canonical_unit, clean_lines, fix_digits, fix_unit, fix_words, is_unit, let, once, split_lines, squeeze, strip, title
 
 __all__ = ["FIELDS", "FIELD", "license_number", "quantity", "price", "date", "extract_fields", "EXTRACTORS", "split_lines"]
 
@@ -240,7 +240,9 @@ def extract_field(name: str, raw: Column, clean: Column) -> Column:
     if name not in RETRIED:
         return own(clean)
     again = F.coalesce(raw != clean, F.lit(False)) & (raw != "")
-    return let(own(clean), lambda f: F.when(again & (f["status"] == "not_found"), let(own(raw), lambda g: F.when(g["status"] != "not_found", g).otherwise(f))).otherwise(f))
+    # One body for both texts; the raw one is empty where it isn't asked.
+    both = F.transform(F.array(clean, F.when(again, raw).otherwise("")), lambda t: own(t))
+    return let(both, lambda b: F.when(again & (b[0]["status"] == "not_found") & (b[1]["status"] != "not_found"), b[1]).otherwise(b[0]))
 
 
 def extract_fields(df, text: str = "text", only: tuple[str, ...] = FIELDS, into: str = "fields"):
@@ -248,7 +250,7 @@ def extract_fields(df, text: str = "text", only: tuple[str, ...] = FIELDS, into:
 
     The cleaned text is a projection of its own, so that each extractor reads it instead of computing it.
     """
-    raw = F.coalesce(F.col(text), F.lit(""))
-    cleaned = df.withColumn("__clean", clean_lines(raw))
-    fields = F.struct(*(extract_field(n, raw, F.col("__clean")).alias(n) for n in only))
-    return cleaned.withColumn(into, once(fields)).drop("__clean")
+    texts = df.withColumn("__raw", F.coalesce(F.col(text), F.lit("")))
+    texts = texts.withColumn("__clean", built(("clean",), lambda: clean_lines(F.col("__raw"))))
+    fields = built(("fields", only), lambda: once(F.struct(*(extract_field(n, F.col("__raw"), F.col("__clean")).alias(n) for n in only))))
+    return texts.withColumn(into, fields).drop("__raw", "__clean")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelwright.sources.dimensions import ADDITIVES, ALLERGENS
 
-from .text import let, once, split_items, squeeze, strip, title
+from .text import built, let, once, split_items, squeeze, strip, title
 
 SECTION = r"(?isdU)(?:Ingredients|Composition|Ingr[eé]dients|Contains|Contents)[\s\:\-]+(.+?)(?=(?:Nutritional|Nutrition|Best\s*Before|Mfg|Manufactured|Net\s*Q|Customer|FSSAI|Country|Allergen\s*Info|\z))"
 DECLARED = r"(?idU)(?:Allergen\s*(?:Advice|Warning|Information)|Contains|May\s*Contain)[\s\:\-]+(.+?)(?=(?:Nutritional|Mfg|Best\s*Before|FSSAI|\n\n|\z))"
@@ -145,10 +145,10 @@ def additives(text: Column, items: Column, strict: bool = False, rows=ADDITIVES)
     return let(codes, of)
 
 
-def _keyword(text: Column, keywords: list[str], flags: str, strict: bool) -> Column:
+def _keyword(text: Column, lower: Column, keywords: list[str], flags: str, strict: bool) -> Column:
     """JN8: the first keyword that stands between word boundaries; strict also takes a plural s."""
     escape = lambda k: "".join("\\" + c if not c.isalnum() and c != " " else c for c in k)
-    hits = (F.when(F.contains(F.lower(text), F.lit(k)) & text.rlike(rf"(?{flags})\b{escape(k)}{'s?' * strict}\b"), F.lit(k)) for k in keywords)
+    hits = (F.when(F.contains(lower, F.lit(k)) & text.rlike(rf"(?{flags})\b{escape(k)}{'s?' * strict}\b"), F.lit(k)) for k in keywords)
     return F.coalesce(*hits, F.lit(None).cast("string"))
 
 
@@ -160,12 +160,12 @@ def allergens(text: Column, items: Column, strict: bool = False) -> Column:
     def of(x: Column) -> Column:
         said, implied = x["said"], x["all"]
         one = lambda name, label, severity, kw, declared: F.when(kw.isNotNull(), F.struct(F.lit(name).alias("allergen"), F.lit(label).alias("display_name"), F.lit(severity).alias("severity"), kw.alias("trigger_keyword"), F.lit(declared).alias("is_explicit")))
-        explicit = F.array(*(one(n, label, sev, _keyword(said, kws, "iU", strict), True) for n, label, sev, kws in ALLERGENS))
-        inferred = F.array(*(one(n, label, sev, _keyword(implied, kws, "U", strict), False) for n, label, sev, kws in ALLERGENS))
+        explicit = F.array(*(one(n, label, sev, _keyword(said, x["low"], kws, "iU", strict), True) for n, label, sev, kws in ALLERGENS))
+        inferred = F.array(*(one(n, label, sev, _keyword(implied, implied, kws, "U", strict), False) for n, label, sev, kws in ALLERGENS))
         both = F.struct(explicit.alias("e"), inferred.alias("i"))
         return let(both, lambda b: F.concat(F.array_compact(b["e"]), F.array_compact(F.zip_with(b["e"], b["i"], lambda e, i: F.when(e.isNull(), i)))))
 
-    return let(F.struct(snippet.alias("said"), everything.alias("all")), of)
+    return let(F.struct(snippet.alias("said"), F.lower(snippet).alias("low"), everything.alias("all")), of)
 
 
 def risks(found: Column) -> Column:
@@ -186,8 +186,12 @@ def confidence(has_list: Column, n_additives: Column, n_allergens: Column) -> Co
 
 def profile(df, text: str = "text", strict: bool = False):
     """K7: adds ingredients, additives, allergens, nutrition, risks and evidence_confidence; a null text is empty."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    out = df.withColumn("ingredients", once(ingredients(t)))
-    out = out.withColumn("additives", once(additives(t, F.col("ingredients.items"), strict))).withColumn("allergens", once(allergens(t, F.col("ingredients.items"), strict))).withColumn("nutrition", nutrition(t))
-    out = out.withColumn("risks", risks(F.col("additives")))
+    t, items = F.col("__text"), F.col("ingredients.items")
+    out = df.withColumn("__text", F.coalesce(F.col(text), F.lit(""))).withColumn("ingredients", built(("ingredients",), lambda: once(ingredients(t))))
+    found = {
+        "additives": built(("additives", strict), lambda: once(additives(t, items, strict))),
+        "allergens": built(("allergens", strict), lambda: once(allergens(t, items, strict))),
+        "nutrition": built(("nutrition",), lambda: nutrition(t)),
+    }
+    out = out.withColumns(found).drop("__text").withColumn("risks", risks(F.col("additives")))
     return out.withColumn("evidence_confidence", confidence(F.col("ingredients.found"), F.size("additives"), F.size("allergens")))

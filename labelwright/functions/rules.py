@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import UNCERTAIN, let, once
+from .text import UNCERTAIN, built, let, once
 
 #: Rule code, severity and field of each rule, in order.
 RULES = [
@@ -113,7 +113,8 @@ def overall(of: Column, threshold: float = 80.0) -> Column:
 
 def evaluate(df, fields: str = "fields", is_food: Column | bool = True, evidence: bool = False, threshold: float = 80.0):
     """Adds results, compliance_score and overall_status."""
-    out = df.withColumn("results", once(results(F.col(fields), is_food, evidence)))
+    out = df.withColumn("__is_food", is_food if isinstance(is_food, Column) else F.lit(is_food))
+    out = out.withColumn("results", built(("results", fields, evidence), lambda: once(results(F.col(fields), F.col("__is_food"), evidence)))).drop("__is_food")
     out = out.withColumn("compliance_score", score(F.col("results")))
     return out.withColumn("overall_status", overall(F.col("compliance_score"), threshold))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,6 +79,23 @@ FIELD_PATTERNS = [
 LINE_ENDS = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 
 
+_columns: dict = {}
+
+
+def built(key: tuple, make: Callable[[], Column]) -> Column:
+    """The Column of that key, made once for each Spark context: a large expression takes seconds to put together from Python.
+
+    It has to read its inputs by fixed names.
+    """
+    context = SparkContext._active_spark_context
+    if _columns.get("context") is not context:
+        _columns.clear()
+        _columns["context"] = context
+    if key not in _columns:
+        _columns[key] = make()
+    return _columns[key]
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, however often the body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelwright.functions.extract import FIELDS
-from labelwright.functions.text import compared, let, once, strip, title
+from labelwright.functions.text import built, compared, let, once, strip, title
 from labelwright.functions.vision import rank
 
 #: Names of views without one.
@@ -49,7 +49,7 @@ def merge_views(views: DataFrame, product: str = "product_id", fields: str = "fi
     """
     boxes = F.col("blocks") if "blocks" in views.columns else F.lit(None).cast("array<struct<text:string,box:array<array<int>>>>")
     at = F.col("view_ord").cast("int")
-    v = views.withColumn("__view", resolved_view(F.col("view"), at)).withColumn("__conf", F.coalesce("confidence", F.lit(0.9))).withColumn("__blocks", boxes)
+    v = views.withColumn("__view", built(("resolved_view",), lambda: resolved_view(F.col("view"), F.col("view_ord").cast("int")))).withColumn("__conf", F.coalesce("confidence", F.lit(0.9))).withColumn("__blocks", boxes)
 
     def placed(name: str) -> Column:
         f = F.col(fields)[name]
@@ -57,12 +57,14 @@ def merge_views(views: DataFrame, product: str = "product_id", fields: str = "fi
         box = evidence_box(F.coalesce(F.nullif(f["raw_snippet"], F.lit("")), f["value"]), F.col("__blocks"))
         return F.when(f.isNotNull(), F.struct(*own, F.col("__view").alias("source_view"), F.coalesce("image_path", F.lit("")).alias("evidence_image_path"), box.alias("bounding_box"), F.round("__conf", 3).alias("confidence"), at.alias("image_index")))
 
-    v = v.select(product, "view_ord", "__view", "__conf", *(placed(n).alias(n) for n in FIELDS))
-    per = []
-    for n in FIELDS:
+    v = v.select(product, "view_ord", "__view", "__conf", *(built(("placed", fields, n), lambda n=n: placed(n).alias(n)) for n in FIELDS))
+
+    def gathered(n: str) -> tuple[Column, Column]:
         order = F.when(F.col(n).isNotNull(), F.struct(rank(F.col(n)["status"]).alias("r"), F.col("__conf").alias("c"), (-F.col("view_ord")).alias("o")))
         source = F.when(F.col(n)["status"].isin("found", "low_confidence"), F.struct(F.col("view_ord").alias("o"), F.struct(*(F.col(n)[a].alias(b) for a, b in (("source_view", "view"), ("image_index", "image_index"), ("evidence_image_path", "image_path"), ("value", "value"), ("status", "status"), ("confidence", "confidence"), ("bounding_box", "bounding_box")))).alias("s")))
-        per += [F.max_by(n, order).alias(n), F.sort_array(F.collect_list(source)).alias(f"__{n}")]
+        return F.max_by(n, order).alias(n), F.sort_array(F.collect_list(source)).alias(f"__{n}")
+
+    per = [c for n in FIELDS for c in built(("gathered", n), lambda n=n: gathered(n))]
     grouped = v.groupBy(product).agg(F.count(F.lit(1)).alias("images_processed"), F.sort_array(F.collect_list(F.struct(F.col("view_ord").alias("o"), F.col("__view").alias("v")))).alias("__views"), *per)
 
     def finished(n: str) -> Column:
@@ -74,7 +76,7 @@ def merge_views(views: DataFrame, product: str = "product_id", fields: str = "fi
 
     return grouped.select(
         product,
-        F.struct(*(finished(n) for n in FIELDS)).alias("fields"),
+        F.struct(*(built(("finished", n), lambda n=n: finished(n)) for n in FIELDS)).alias("fields"),
         F.struct("images_processed", (F.col("images_processed") > 1).alias("merged"), F.transform("__views", lambda x: x["v"]).alias("views")).alias("merge_metadata"),
     )
 

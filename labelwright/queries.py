@@ -410,8 +410,10 @@ def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def engine_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
     """J1, M6, M7, JN12: vision and local fields of every product."""
     local = extract.extract_fields(labels.labels(spark, sf_dir)).select("product_id", F.col("fields").alias("local"))
-    answers = _answers(spark, sf_dir).select("product_id", vision.adapt(F.from_json(vision.fenced_json(F.col("answer")), vision.ANSWER)).alias("vision"))
-    both = local.join(answers, "product_id").select("product_id", F.inline(text.once(vision.consensus(F.col("vision"), F.col("local")))))
+    adapted = text.built(("adapted answer",), lambda: vision.adapt(F.from_json(vision.fenced_json(F.col("answer")), vision.ANSWER)).alias("vision"))
+    answers = _answers(spark, sf_dir).select("product_id", adapted)
+    chosen = text.built(("vision and local",), lambda: F.inline(text.once(vision.consensus(F.col("vision"), F.col("local")))))
+    both = local.join(answers, "product_id").select("product_id", chosen)
     return both.select("product_id", "field", "consensus", "value")
 
 

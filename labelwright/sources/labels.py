@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelwright.functions.text import built
+
 from .tables import table
 
 DEFECTS = {
@@ -58,6 +60,10 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lines(p: DataFrame) -> DataFrame:
     """The label's lines by name; null where a defect leaves one out."""
+    return p.select("*", *built(("label lines",), _lines))
+
+
+def _lines() -> list[Column]:
     k = F.col("k")
     money = F.format_string("%.2f", F.col("p_retailprice"))
     bare = F.concat(F.lit("1"), F.lpad(k.cast("string"), 13, "0"))
@@ -65,8 +71,7 @@ def lines(p: DataFrame) -> DataFrame:
     month = F.format_string("%02d/%d", (k % 12 + 1).cast("int"), (k % 6 + 2020).cast("int"))
     unit = F.when(defect(k, "bad_unit"), "xyz").otherwise(_pick(LABEL_UNITS, k % 4))
     tax = F.when(defect(k, "no_tax"), "").otherwise(" (incl. of all taxes)")
-    return p.select(
-        "*",
+    return [
         F.concat(F.lit("Pkd. Date: "), F.when(defect(k, "bad_date"), "8X/2Q26").otherwise(month)).alias("l_date"),
         F.when(~defect(k, "no_maker"), F.concat(F.lit("Marketed by: "), F.col("maker"), F.lit(" Foods Pvt Ltd, Plot 7"))).alias("l_maker"),
         F.concat(F.lit("MRP Rs. "), F.when(defect(k, "comma_price"), "1,").otherwise(""), money, tax).alias("l_price"),
@@ -74,7 +79,7 @@ def lines(p: DataFrame) -> DataFrame:
         F.when(~defect(k, "no_care"), F.concat(F.lit("Customer Care: 1800-"), F.lpad((k % 1000).cast("string"), 3, "0"), F.lit("-"), F.lpad((k % 10000).cast("string"), 4, "0"), F.lit(", care"), k.cast("string"), F.lit("@example.com"))).alias("l_care"),
         F.when(~defect(k, "no_license"), F.concat(F.lit("FSSAI Lic No: "), number)).alias("l_license"),
         F.when(~defect(k, "no_country"), F.concat(F.lit("Country of Origin: "), _pick(COUNTRIES, F.col("nation_key") % 5))).alias("l_country"),
-    )
+    ]
 
 
 ORDER = ("l_date", "l_maker", "l_price", "l_quantity", "l_care", "l_license", "l_country")
