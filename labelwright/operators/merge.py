@@ -39,8 +39,9 @@ def evidence_box(snippet: Column, blocks: Column) -> Column:
     return F.when(blocks.isNotNull(), let(chosen, best))
 
 
-def merge_views(views: DataFrame, product: str = "product_id", fields: str = "fields") -> DataFrame:
-    """A row per product: a struct of the seven merged fields, and what was merged.
+def merge_views(views: DataFrame, product: str = "product_id", fields: str = "fields", keep: tuple[str, ...] = (), also: tuple[Column, ...] = ()) -> DataFrame:
+    """A row per product: a struct of the seven merged fields, and what was merged; and ``also``, further aggregates of
+    the views' columns in ``keep``, so that nothing else has to group the views again.
 
     views: product, view_ord, view, image_path, confidence, fields (and blocks, if there are boxes). The best status
     wins, then the higher confidence, then the earlier view. Each merged field has its view, picture, box, confidence and
@@ -57,7 +58,7 @@ def merge_views(views: DataFrame, product: str = "product_id", fields: str = "fi
         box = evidence_box(F.coalesce(F.nullif(f["raw_snippet"], F.lit("")), f["value"]), F.col("__blocks"))
         return F.when(f.isNotNull(), F.struct(*own, F.col("__view").alias("source_view"), F.coalesce("image_path", F.lit("")).alias("evidence_image_path"), box.alias("bounding_box"), F.round("__conf", 3).alias("confidence"), at.alias("image_index")))
 
-    v = v.select(product, "view_ord", "__view", "__conf", *(built(("placed", fields, n), lambda n=n: placed(n).alias(n)) for n in FIELDS))
+    v = v.select(product, "view_ord", "__view", "__conf", *keep, *(built(("placed", fields, n), lambda n=n: placed(n).alias(n)) for n in FIELDS))
 
     def gathered(n: str) -> tuple[Column, Column]:
         order = F.when(F.col(n).isNotNull(), F.struct(rank(F.col(n)["status"]).alias("r"), F.col("__conf").alias("c"), (-F.col("view_ord")).alias("o")))
@@ -65,7 +66,7 @@ def merge_views(views: DataFrame, product: str = "product_id", fields: str = "fi
         return F.max_by(n, order).alias(n), F.sort_array(F.collect_list(source)).alias(f"__{n}")
 
     per = [c for n in FIELDS for c in built(("gathered", n), lambda n=n: gathered(n))]
-    grouped = v.groupBy(product).agg(F.count(F.lit(1)).alias("images_processed"), F.sort_array(F.collect_list(F.struct(F.col("view_ord").alias("o"), F.col("__view").alias("v")))).alias("__views"), *per)
+    grouped = v.groupBy(product).agg(F.count(F.lit(1)).alias("images_processed"), F.sort_array(F.collect_list(F.struct(F.col("view_ord").alias("o"), F.col("__view").alias("v")))).alias("__views"), *per, *also)
 
     def finished(n: str) -> Column:
         sources = F.transform(F.col(f"__{n}"), lambda x: x["s"])
@@ -78,6 +79,7 @@ def merge_views(views: DataFrame, product: str = "product_id", fields: str = "fi
         product,
         F.struct(*(built(("finished", n), lambda n=n: finished(n)) for n in FIELDS)).alias("fields"),
         F.struct("images_processed", (F.col("images_processed") > 1).alias("merged"), F.transform("__views", lambda x: x["v"]).alias("views")).alias("merge_metadata"),
+        *(c for c in grouped.columns if c not in (product, "images_processed", "__views", *FIELDS, *(f"__{n}" for n in FIELDS))),
     )
 
 
@@ -87,12 +89,22 @@ def field_rows(merged: DataFrame, product: str = "product_id") -> DataFrame:
     return merged.select(product, F.inline(once(rows))).select(product, "field", "f.*")
 
 
-def joined_text(views: DataFrame, product: str = "product_id", text: str = "text", marker: str = "\n\n--- {} ---\n\n") -> DataFrame:
-    """A10: the views' texts in order, with a marker that names the next view between them."""
+def texts_in_order(text: str = "text") -> Column:
+    """The views' texts as an aggregate: order, name and text of each."""
+    return F.sort_array(F.collect_list(F.struct("view_ord", "view", F.col(text).alias("t"))))
+
+
+def marked_text(texts: Column, marker: str = "\n\n--- {} ---\n\n") -> Column:
+    """A10: such texts as one, with a marker that names the next view between them."""
     head, tail = marker.split("{}")
-    rows = views.groupBy(product).agg(F.sort_array(F.collect_list(F.struct("view_ord", "view", F.col(text).alias("t")))).alias("v"))
-    parts = F.transform("v", lambda x, i: F.concat(F.when(i == 0, "").otherwise(F.concat(F.lit(head), x["view"], F.lit(tail))), F.coalesce(x["t"], F.lit(""))))
-    return rows.select(product, F.array_join(parts, "").alias("combined_text"), F.size("v").cast("long").alias("n_views"))
+    parts = F.transform(texts, lambda x, i: F.concat(F.when(i == 0, "").otherwise(F.concat(F.lit(head), x["view"], F.lit(tail))), F.coalesce(x["t"], F.lit(""))))
+    return F.array_join(parts, "")
+
+
+def joined_text(views: DataFrame, product: str = "product_id", text: str = "text", marker: str = "\n\n--- {} ---\n\n") -> DataFrame:
+    """A10: a row per product with its views' texts as one."""
+    rows = views.groupBy(product).agg(texts_in_order(text).alias("v"))
+    return rows.select(product, marked_text(F.col("v"), marker).alias("combined_text"), F.size("v").cast("long").alias("n_views"))
 
 
 def view_summary(views: DataFrame, product: str = "product_id") -> DataFrame:

@@ -53,6 +53,7 @@ def test_merge(spark):
     assert merged[1]["fields"]["net_quantity"]["source_view"] == "Back" and merged[1]["merge_metadata"]["views"] == ["Front", "Back", "Angle 9"]
     assert not merged[2]["merge_metadata"]["merged"] and merged[2]["fields"]["mrp"]["confidence"] == 0.9
     whole = inspect(rows.withColumn("is_food", F.lit(True)))
+    assert whole.findings.count() == 14 and whole.profiles.filter("combined_text LIKE '%--- Angle%' OR combined_text LIKE '%Acme%'").count() >= 1
     assert {r["product_id"]: r["compliance_score"] for r in whole.inspections.select("product_id", "compliance_score").collect()}[2] == 100.0
 
 
