@@ -149,7 +149,7 @@ def test_dense_groups_and_blocks(spark):
     rows += [(100 + i, " ".join(f"u{i}x{j}" for j in range(40))) for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     truth = brute(rows)
-    for params in ({}, {"bucket": 16}, {"bucket": 16, "crowded": 40, "block_words": 400}):
+    for params in ({}, {"bucket": 16, "crowded": 40, "block_words": 400}):
         got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs, recall=0.9999, **params).collect())
         assert [g[:2] for g in got] == [t[:2] for t in truth]
         assert 0.995 * sum(t[2] for t in truth) <= sum(g[2] for g in got) and all(g[2] <= t[2] for g, t in zip(got, truth, strict=True))
