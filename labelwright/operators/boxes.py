@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,11 +26,14 @@ def merge_close(boxes: Column, gap: int = 10) -> Column:
     return cluster(boxes, gap, gap)
 
 
-def top_regions(regions: Column, most: int = 8) -> Column:
-    """The most confident regions (of equals the first), in reading order; a region has x1, y1, x2, y2, confidence."""
-    keys = F.slice(F.array_sort(F.transform(regions, lambda r, i: F.struct((-r["confidence"]).alias("c"), i.alias("i")))), 1, most)
-    order = F.array_sort(F.transform(keys, lambda k: F.struct(F.get(regions, k["i"])["y1"].alias("y1"), F.get(regions, k["i"])["x1"].alias("x1"), k["i"].alias("i"))))
-    return F.transform(order, lambda k: F.get(regions, k["i"]))
+def top_regions(regions: DataFrame, picture: str, key: str, most: int = 8) -> DataFrame:
+    """The most confident regions of each picture (of equals the smaller key), with their position in reading order.
+
+    Rows, not arrays: Spark keeps the best of each task before the shuffle, so a picture with very many regions is cheap.
+    """
+    best = Window.partitionBy(picture).orderBy(F.desc("confidence"), key)
+    kept = regions.withColumn("__best", F.row_number().over(best)).filter(F.col("__best") <= most).drop("__best")
+    return kept.withColumn("position", F.row_number().over(Window.partitionBy(picture).orderBy("y1", "x1", key)) - 1)
 
 
 def without_covered(boxes: Column, most: float = 0.6) -> Column:

@@ -39,6 +39,17 @@ def strided(items: Column, most: int = 8) -> Column:
     return F.when(n > most, taken).otherwise(items)
 
 
+def strided_rows(frames: DataFrame, video: str, order: str, most: int = 8) -> DataFrame:
+    """O6 over rows: those frames of each video, with their position."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(video)
+    i, n = F.row_number().over(w.orderBy(order)) - 1, F.count(F.lit(1)).over(w)
+    ranked = frames.withColumns({"__i": i, "__n": n}).withColumn("__j", F.ceil(F.col("__i") * most / F.col("__n")))
+    taken = (F.col("__n") <= most) | (F.col("__j") < most) & (F.floor(F.col("__j") * F.col("__n") / most) == F.col("__i"))
+    return ranked.filter(taken).withColumn("position", F.when(F.col("__n") <= most, F.col("__i")).otherwise(F.col("__j")).cast("int")).drop("__i", "__n", "__j")
+
+
 def gated(frames: DataFrame, min_sharpness: float = 35.0) -> DataFrame:
     """Adds discard_reason and quality_score."""
     out = frames.withColumn("discard_reason", frame_discard(F.col("sharpness"), F.col("brightness"), F.col("contrast"), min_sharpness))

@@ -513,13 +513,22 @@ def frame_telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def strided_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight frames of each video, evenly taken."""
-    per = facts.frames(spark, sf_dir).groupBy("video_id").agg(F.sort_array(F.collect_list("frame_num")).alias("f"))
-    return per.select("video_id", F.posexplode(frames.strided(F.col("f"))).alias("position", "frame_num"))
+    return frames.strided_rows(facts.frames(spark, sf_dir).select("video_id", "frame_num"), "video_id", "frame_num").select("video_id", "position", "frame_num")
 
 
-@query()
+@query(
+    """WITH f AS (SELECT label::BIGINT AS v, vec_id AS n, (vec_id % 90)::DOUBLE AS s, vec_id % 250 AS b, (vec_id % 50)::DOUBLE AS c, embedding::DOUBLE[] AS h FROM embeddings),
+    g AS (SELECT *, s < 35 OR b < 25 OR b > 245 OR c < 18 AS gone, list_transform(h, lambda x: x - list_avg(h)) AS z FROM f),
+    p AS (SELECT v, count(*) AS sampled, sum(gone::INT) AS gone, list({'n': n, 's': s, 'u': least(100.0, s * 0.4 + c * 0.3 + 12.0), 'z': z, 'q': list_inner_product(z, z)} ORDER BY n) FILTER (NOT gone) AS k, [{'n': min(n), 's': 40.0, 'u': 60.0, 'z': min_by(z, n), 'q': 0.0}] AS one FROM g GROUP BY v),
+    d AS (SELECT v, sampled, gone, coalesce(k, one) AS k, list_reduce(list_transform(coalesce(k, one), lambda x: [x]), lambda d, x: CASE WHEN len(list_filter(d, lambda y: CASE WHEN y.q * x[1].q > 0 THEN list_inner_product(y.z, x[1].z) / sqrt(y.q * x[1].q) ELSE 1.0 END > 0.94)) > 0 THEN d ELSE list_concat(d, x) END) AS d FROM p),
+    c AS (SELECT v, sampled, gone + len(k) - len(d) AS gone, CASE WHEN len(d) > 8 THEN list_transform(range(0, 8), lambda j: d[floor(j * (len(d) / 8.0))::INT + 1]) ELSE d END AS c FROM d),
+    u AS (SELECT v, sampled, gone, len(c) AS m, unnest(range(0, len(c))) AS i, unnest(c) AS x FROM c)
+    SELECT v AS video_id, sampled AS frames_sampled, gone::BIGINT AS frames_discarded, x.n AS frame_index, i::INT AS keyframe_order,
+      CASE WHEN m = 1 OR i / m < 0.25 THEN 'Front' WHEN i / m < 0.5 THEN 'Left Side' WHEN i / m < 0.75 THEN 'Back' ELSE 'Right Side' END AS view,
+      CASE WHEN m = 1 THEN 0.9 WHEN i / m < 0.25 THEN 0.88 WHEN i / m < 0.5 THEN 0.78 WHEN i / m < 0.75 THEN 0.86 ELSE 0.8 END::DOUBLE AS view_confidence, round(x.u, 1) AS quality_score, round(x.s, 1) AS sharpness FROM u"""
+)
 def video_keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Keyframes of embeddings' labels as videos; the greedy order is beyond SQL, tests hold it against a loop."""
+    """Keyframes of embeddings' labels as videos."""
     e = tables.table(spark, sf_dir, "embeddings")
     k = F.col("vec_id")
     rows = e.select(F.col("label").cast("long").alias("video_id"), k.alias("frame_num"), (k % 90).cast("double").alias("sharpness"), (k % 250).cast("double").alias("brightness"), (k % 50).cast("double").alias("contrast"), F.lit(0.05).alias("edge_density"), F.col("embedding").cast("array<double>").alias("histogram"))
@@ -603,9 +612,7 @@ def region_types(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def top_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight most confident regions of each picture in reading order."""
-    region = F.struct("box_id", "x1", "y1", "x2", "y2", "confidence")
-    per = facts.boxes(spark, sf_dir).groupBy("id").agg(F.array_sort(F.collect_list(region)).alias("r"))
-    return per.select("id", F.posexplode(boxes.top_regions(F.col("r"))).alias("position", "b")).select("id", "position", "b.box_id")
+    return boxes.top_regions(facts.boxes(spark, sf_dir).select("id", "box_id", "x1", "y1", "confidence"), "id", "box_id").select("id", "position", "box_id")
 
 
 # A fold over boxes in reading order: the last cluster takes in the next box if they touch.
