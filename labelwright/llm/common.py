@@ -6,6 +6,7 @@ import ctypes
 import gc
 import os
 import tempfile
+import threading
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
@@ -37,8 +38,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/labelwright/{name}-{uuid.uuid4().hex}"
 
 
-#: Written tables that nothing has deleted yet, in the order they were written.
-_written: list[DataFrame] = []
+class _Written(threading.local):
+    """This thread's written tables that nothing has deleted yet, in the order they were written."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+
+_written = _Written()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -47,7 +54,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path := scratch_path(spark, name))
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
-    _written.append(out)
+    _written.tables.append(out)
     return out
 
 
@@ -57,19 +64,19 @@ def discard(*tables: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         path = jvm.org.apache.hadoop.fs.Path(df._scratch)
         path.getFileSystem(conf).delete(path, True)
-        _written[:] = [x for x in _written if x._scratch != df._scratch]
+        _written.tables = [x for x in _written.tables if x._scratch != df._scratch]
 
 
 def settle(df: DataFrame, name: str, since: int) -> DataFrame:
-    """The table, written; of what had been written for it, since ``len(_written)`` was that, nothing stays."""
+    """The table, written; of what this thread had written for it, after :func:`written` gave that number, nothing stays."""
     out = materialize(df, name)
-    discard(*(x for x in _written[since:] if x is not out))
+    discard(*(x for x in _written.tables[since:] if x is not out))
     return out
 
 
 def written() -> int:
-    """How many written tables there are, to :func:`settle` what comes after."""
-    return len(_written)
+    """How many written tables this thread has, to :func:`settle` what comes after."""
+    return len(_written.tables)
 
 
 def ship(spark: SparkSession) -> None:
