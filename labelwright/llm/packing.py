@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import lodged, ship
 
 #: Bytes of a generation of a worker's cache, about; two generations at most are held.
-CACHE_BYTES = 40 << 20
+CACHE_BYTES = 24 << 20
 
 NAMES = ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "draw")
 
