@@ -7,6 +7,7 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -101,7 +102,7 @@ def test_license_places_and_edits():
     assert run("a " * 50_000 + "apache license")[:4] == (50_002, 1, 50_000, 50_000)
 
 
-def test_similar_and_forest():
+def test_similar_and_spanning():
     rnd = random.Random(3)
     texts = []
     for _ in range(12):
@@ -118,8 +119,23 @@ def test_similar_and_forest():
     assert (got == truth).all()
     every = ~np.eye(n, dtype=bool)
     assert (jaccard_join._verified(sets, every, 0.8, 300) == truth & every).all()
-    root = jaccard_join.forest(truth & ~np.eye(n, dtype=bool))
-    assert all(root[i] == min(j for j in range(n) if root[j] == root[i]) for i in range(n)) and all(root[i] == root[j] for i in range(n) for j in range(n) if truth[i, j])
+    for linked in (truth & every, np.zeros((3, 3), dtype=bool)):
+        links = jaccard_join.spanning(linked)
+        root = _roots(links, len(linked))
+        assert all(linked[i, j] for i, j in links) and len(links) == len(linked) - len(set(root))
+        assert all(root[i] == root[j] for i, j in zip(*np.nonzero(linked), strict=True))
+    label = np.arange(n) // 2
+    links = jaccard_join._joining(truth & every, label)
+    assert all(truth[i, j] for i, j in links)
+    assert _roots([*links, *((i, i ^ 1) for i in range(n))], n) == _roots([*zip(*np.nonzero(truth), strict=True), *((i, i ^ 1) for i in range(n))], n)
+
+
+def _roots(links, n):
+    root = list(range(n))
+    for i, j in links:
+        a, b = sorted((root[i], root[j]))
+        root = [a if r == b else r for r in root]
+    return root
 
 
 def test_codewords():
@@ -169,16 +185,39 @@ def test_windows_keep_the_earliest_start():
     assert [x[1:4] for x in scan.matches(f" some words {text} ")] == [(12, 132, 4)]
 
 
-def test_leaves_of_a_large_group_are_bounded_and_few():
+def _random_tokens(n, kept):
+    rng = np.random.default_rng(3)
+    return np.where(rng.random((n, jaccard_join.TOKENS)) < kept, np.arange(jaccard_join.TOKENS), rng.integers(64, 256, (n, jaccard_join.TOKENS))).astype(np.uint8)
+
+
+def test_rows_of_a_large_group_grow_with_it():
     def rows(n, kept):
-        rng = np.random.default_rng(3)
-        sig = np.where(rng.random((n, jaccard_join.TOKENS)) < kept, np.arange(jaccard_join.TOKENS), rng.integers(64, 256, (n, jaccard_join.TOKENS))).astype(np.uint8)
-        sizes = [len(own) for r in range(1, 9) for _, own in jaccard_join._leaves(np.uint64(r << 40), sig, 2, 0.8, 64, np.full(n, 2))]
-        assert max(sizes) <= 66
-        return sum(sizes) / n / 8
+        sig, total = _random_tokens(n, kept), 0
+        for r in range(1, 9):
+            for _, own in jaccard_join._leaves(np.uint64(r << 40), sig, np.arange(n), 2, 0.8, 64, np.full(n, 2)):
+                met, pairs = jaccard_join._stars(np.full(len(own), 100), sig[own], 0.64, 0.8)
+                assert len({j for _, j in pairs}) == len(pairs) < max(1, len(own))
+                total += len(own) + met.sum() + len(pairs)
+        return total / n / 8
 
     # A group of eight times the size would make eight times the rows for each set if pairs made them.
-    assert all(rows(2400, kept) <= 4 * rows(300, kept) for kept in (0.5, 0.7, 0.8))
+    assert all(rows(2400, kept) <= 4 * rows(300, kept) for kept in (0.5, 0.7, 0.8, 0.9))
+    assert not list(jaccard_join._leaves(np.uint64(7), _random_tokens(300, 0.9), np.zeros(300), 2, 0.8, 64, np.full(300, 2)))
+
+
+@pytest.mark.parametrize("n", [40, 2500])
+def test_stars_and_best_candidates(n):
+    sig, size, label = _random_tokens(n, 0.8), np.full(n, 100), np.arange(n) // (n // 4)
+    near = jaccard_join._alike(size, sig, 0.64, 0.8)
+    met, pairs = jaccard_join._stars(size, sig, 0.64, 0.8)
+    assert (met == near.any(1)).all() and all(near[i, j] for i, j in pairs)
+    middles = {int(i) for i, _ in pairs} | set(np.flatnonzero(~np.isin(np.arange(n), [j for _, j in pairs])).tolist())
+    assert all(not near[i, j] for i in middles for j in middles if i not in {k for _, k in pairs} and j not in {k for _, k in pairs})
+    met, pairs = jaccard_join._best(size, sig, label, 0.64, 0.8)
+    apart = near & (label[:, None] != label)
+    assert (met == apart.any(1)).all() and all(apart[i, j] for i, j in pairs)
+    same = (sig[:, None] == sig[None, :20]).sum(-1)
+    assert all(same[i, j] == same[apart[:, j] & ((label == label[0]) == (label[i] == label[0])), j].max() for i, j in pairs if j < 20)
 
 
 def test_a_day_has_one_pseudonym_in_every_layout():
