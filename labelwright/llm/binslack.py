@@ -160,7 +160,7 @@ def place(rows: DataFrame, planned: np.ndarray) -> DataFrame:
     return rows.mapInArrow(lodged("binslack", forget, run), f"{schema}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, bucket_rows: int = 1 << 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, bucket_rows: int = 1 << 12, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Sequences of at most ``capacity`` ids, as few as the method finds: a row per piece, its sequence and its offset there.
 
     Pieces of one length are numbered in buckets of about ``bucket_rows``, drawn by hash, so that one length may hold any
@@ -171,13 +171,13 @@ def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 1024, bucke
     """
     made = materialize(pieces(docs, vocabulary, capacity, doc_id=doc_id, text=text), "slack-pieces")
     key = ["doc_id", "piece", "start", "ids_crc32"]
-    n_buckets = max(1, -(-made.count() // bucket_rows))
-    drawn = made.withColumn("bucket", F.pmod(F.xxhash64(*key), F.lit(n_buckets).cast("long")))
-    held = materialize(drawn.groupBy("length", "bucket").count(), "slack-counts")
     counts = np.zeros(capacity + 1, dtype=np.int64)
     # No more rows than the capacity has lengths.
-    for r in held.groupBy("length").agg(F.sum("count").alias("n")).collect():
-        counts[r["length"]] = r["n"]
+    for r in made.groupBy("length").count().collect():
+        counts[r["length"]] = r["count"]
+    buckets = F.array(*(F.lit(int(x)) for x in np.maximum(1, -(-counts // bucket_rows)))).cast("array<long>")
+    drawn = made.withColumn("bucket", F.pmod(F.xxhash64(*key), F.get(buckets, F.col("length").cast("int"))))
+    held = materialize(drawn.groupBy("length", "bucket").count(), "slack-counts")
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     since = materialize(held.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("since")), "slack-ranks")
     discard(held)
