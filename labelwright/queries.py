@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import extract, metrics, profile, rules, text, vision
-from .operators import boxes, consensus, dashboards, frames, images, merge, reports, training
+from .operators import additives, boxes, consensus, dashboards, frames, images, merge, reports, training
 from .plans.inspection import inspect
-from .sources import demo, dimensions, facts, labels, tables
+from .sources import demo, dimensions, facts, labels, published, tables
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -331,8 +331,26 @@ WITH a AS (SELECT p_partkey AS k, CASE p_partkey % 6 WHEN 0 THEN 'INS 322' WHEN
 @query(ADDITIVE_TRUTH + "SELECT k AS product_id, identifier, risk_level, recognized FROM a")
 def decoded_additives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """K5, JN6, JN7."""
-    rows = profile.profile(labels.compositions(spark, sf_dir)).select("product_id", F.explode(text.once(F.col("additives"))).alias("a"))
-    return rows.select("product_id", "a.identifier", "a.risk_level", "a.recognized")
+    return additives.decode(labels.compositions(spark, sf_dir), dimensions.additives(spark), "product_id").select("product_id", "identifier", "risk_level", "recognized")
+
+
+@query(
+    """WITH kb AS (SELECT p_partkey AS k, 1000 + p_partkey % 9000 AS code, p_name || ' ' || p_partkey AS p_name FROM part),
+    c AS (SELECT a.k, min(b.k) AS ordinal FROM kb a JOIN kb b ON a.code = b.code GROUP BY a.k)
+    SELECT c.k AS product_id, 'INS ' || (1000 + o.k % 9000) AS identifier, o.p_name AS common_name, 'in ' || o.k AS typical_use, 'INS ' || (1000 + o.k % 9000) AS detected_token FROM c JOIN kb o ON o.k = c.ordinal
+    UNION ALL SELECT a.k, 'INS ' || b.code, b.p_name, 'in ' || b.k, a.p_name || ' extract (INS ' || a.code || ')' FROM kb a JOIN kb b ON contains(lower(a.p_name || ' extract'), lower(b.p_name)) AND a.code <> b.code"""
+)
+def indexed_additives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN6, JN7 over a knowledge base of a record for each part, with three aliases and a column of the caller's own."""
+    part = tables.table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_partkey").alias("p_name"))
+    k, code = F.col("p_partkey"), (1000 + F.col("p_partkey") % 9000).cast("string")
+    known = part.select(
+        k.alias("ordinal"), F.concat(F.lit("INS "), code).alias("identifier"), F.array(code, F.concat(F.lit("ins "), code), F.concat(F.lit("part "), k.cast("string"))).alias("aliases"),
+        F.col("p_name").alias("common_name"), F.lit("").alias("function"), F.lit("green").alias("risk_level"), F.concat(F.lit("in "), k.cast("string")).alias("typical_use"),
+    )
+    label = F.concat(F.lit("Ingredients: Sugar, "), "p_name", F.lit(" extract (INS "), code, F.lit(").\nNet Quantity: 5 g"))
+    found = additives.decode(part.select(k.alias("product_id"), label.alias("text")), known, "product_id")
+    return found.select("product_id", "identifier", "common_name", "typical_use", "detected_token")
 
 
 @query(
@@ -341,7 +359,7 @@ def decoded_additives(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def additive_risks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A6, K7."""
-    return profile.profile(labels.compositions(spark, sf_dir)).select("product_id", "risks.*", "evidence_confidence")
+    return additives.profiles(labels.compositions(spark, sf_dir), dimensions.additives(spark), "product_id").select("product_id", "risks.*", "evidence_confidence")
 
 
 @query(
@@ -666,6 +684,12 @@ def validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.inspections(spark, sf_dir).select("id", training.is_validation(F.col("id")).alias("is_validation"))
 
 
+@query("SELECT o_orderkey AS id, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '/42')) <= greatest(1, floor(count(*) OVER () * 0.15::DOUBLE)) AS is_validation FROM orders")
+def exact_validation_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exactly 15 % of the inspections, those with the smallest digests."""
+    return training.exact_split(facts.inspections(spark, sf_dir).select("id"), "id")
+
+
 @query(
     PARTS
     + """, z AS (SELECT k, unnest(list_filter([{'f': NOT no_maker, 'class': 'manufacturer', 'cx': 0.3, 'cy': 0.65, 'w': 0.55, 'h': 0.25}, {'f': NOT no_license, 'class': 'date_fssai', 'cx': 0.5, 'cy': 0.82, 'w': 0.9, 'h': 0.14},
@@ -831,6 +855,23 @@ def payload_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.latest_with_payload(rows).select("id", "inspector_id")
 
 
+@query(
+    FACTS
+    + """SELECT id % 4 AS batch, overall_status, rule_code, count(*) AS results, sum((status = 'Fail')::INT)::BIGINT AS failed, count(DISTINCT id) AS inspections
+    FROM inspections JOIN violations ON inspection_id = id GROUP BY ALL"""
+)
+def published_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inspections and findings published together in four batches, one of them twice, and read back."""
+    base = published.shared_folder(spark, "published")
+    inspections, findings = facts.inspections(spark, sf_dir).select("id", "overall_status"), facts.violations(spark, sf_dir).select("inspection_id", "rule_code", "status")
+    for batch in (0, 1, 2, 3, 1):
+        published.publish(inspections.filter(F.col("id") % 4 == batch), findings.filter(F.col("inspection_id") % 4 == batch), base, batch)
+    back = published.read_published(spark, base, "inspections", "id long, overall_status string")
+    rows = published.read_published(spark, base, "findings", "inspection_id long, rule_code string, status string").drop("batch")
+    per = back.join(rows, back["id"] == rows["inspection_id"]).groupBy("batch", "overall_status", "rule_code")
+    return per.agg(F.count(F.lit(1)).alias("results"), F.count_if(F.col("status") == "Fail").alias("failed"), F.count_distinct("id").alias("inspections"))
+
+
 @query(FACTS + "SELECT id, 'standard' AS inspection_mode, 0::BIGINT AS ocr_retry_count FROM inspections")
 def evolved_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Columns that an older table lacks."""
@@ -840,10 +881,12 @@ def evolved_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.evolve(facts.inspections(spark, sf_dir).select("id"), schema, {"inspection_mode": "standard", "ocr_retry_count": 0})
 
 
-@query("SELECT 5::BIGINT AS total, 3::BIGINT AS compliant, 2::BIGINT AS non_compliant, 60.0::DOUBLE AS compliance_rate")
-def demo_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The demonstration labels through extraction, rules and totals."""
-    return dashboards.totals(rules.evaluate(extract.extract_fields(demo.demo(spark)), is_food=F.col("is_food")))
+@query("SELECT c_custkey AS inspector_id, 5::BIGINT AS total, 3::BIGINT AS compliant, 2::BIGINT AS non_compliant, 60.0::DOUBLE AS compliance_rate FROM customer")
+def seeded_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's demonstration labels through extraction, rules and totals."""
+    found = rules.evaluate(extract.extract_fields(demo.seed(facts.users(spark, sf_dir).select("id"))), is_food=F.col("is_food"))
+    per = found.groupBy("inspector_id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("overall_status") == "Compliant").alias("compliant"), F.count_if(F.col("overall_status") == "Non-Compliant").alias("non_compliant"))
+    return per.withColumn("compliance_rate", F.round(F.col("compliant") / F.col("total") * 100, 1))
 
 
 # Reports.
@@ -873,7 +916,7 @@ def report_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def report_additives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's additives, codes in order of the text, then named ones."""
-    rows = reports.additive_section(profile.profile(labels.compositions(spark, sf_dir)))
+    rows = reports.additive_section(additives.profiles(labels.compositions(spark, sf_dir), dimensions.additives(spark), "product_id"))
     return rows.select("product_id", "position", "identifier", "risk_level", F.when(F.col("recognized"), "known").otherwise("unknown").alias("known"))
 
 
