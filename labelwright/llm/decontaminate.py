@@ -107,7 +107,7 @@ class Items:
     def __init__(self, items: tuple[tuple[int, str], ...], rate: float, min_piece: int):
         import ahocorasick
 
-        # A space on either side: what is found begins and ends with whole words, but for edits.
+        # A space on either side: what is found begins and ends with whole words, but that a space can be an edit too.
         self.items = [(i, f" {n} ", budget(len(n), rate, min_piece)) for i, n in items]
         self.grams = [frozenset(zip(n, n[1:], n[2:], n[3:], strict=False)) for _, n, _ in self.items]
         found: dict[str, list[tuple[int, int]]] = {}
@@ -144,7 +144,10 @@ class Items:
                     back = myers(n[::-1], window[:end][::-1])[1] if e else len(n)
                     best = e, a + end - back, a + end
             if best:
-                yield item, best[0], min(best[1], size_of_text), min(max(best[2] - 2, best[1]), size_of_text)
+                # Without the spaces at its ends, where an edit has not taken them; one less for the text's own.
+                e, start, end = best
+                start, end = start + (norm[start] == " ") - 1, end - (norm[end - 1] == " ") - 1
+                yield item, e, max(start, 0), min(max(end, start), size_of_text)
 
 
 @functools.lru_cache(2)
@@ -173,20 +176,21 @@ def blocks(benchmark: DataFrame, block_chars: int, item_id: str, text: str) -> I
         yield tuple(block)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_piece: int = 12, block_chars: int = 4_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_piece: int = 12, block_chars: int = 4_000_000, id_type: str = "long", doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each row and item of which the text holds a place within the item's edit budget: its best place.
 
-    An item of n normalised characters may differ by min(rate * n, n / min_piece - 1) edits, and stands there in whole
-    words; one of fewer than 2 * min_piece characters so stands there exactly, and one of a single word is held by every
-    text with that word. Items without a letter or digit are ignored, as are null and empty texts; of equally good places
+    An item of n normalised characters may differ by min(rate * n, n / min_piece - 1) edits: at 8 % and pieces of 12 the
+    first counts from about 300 characters on, below that the length of pieces does. The spaces around an item are part of
+    it, so without edits it stands there in whole words; an edit may be spent on such a space. One of fewer than 2 *
+    min_piece characters stands there exactly, and one of a single word is held by every text with that word. Items without a letter or digit are ignored, as are null and empty texts; of equally good places
     the first counts. Very long texts are searched whole. Repeated rows give repeated results, repeated items one; null
     ids stay null; extra columns are ignored, whatever their names; an empty table or benchmark gives no rows. Each block
     of items is one scan without a shuffle.
     """
     spark = docs.sparkSession
     ship(spark)
-    held = docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text"))
-    out = None
+    held = docs.select(docs[doc_id].cast(id_type).alias("doc_id"), docs[text].alias("text"))
+    schema, out = SCHEMA.replace("doc_id long", f"doc_id {id_type}"), None
     for items in blocks(benchmark, block_chars, item_id, item_text):
         sent = spark.sparkContext.broadcast(items)
 
@@ -194,9 +198,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, min_
             own = _block(sent.value, rate, min_piece)
             for batch in batches:
                 rows = [(k, *h) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for h in own.hits(normalise(t))]
-                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+                types = [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["doc_id", "item_id", "edits", "start", "end"])
 
-        part = held.mapInArrow(lodged("decontaminate", forget, run), SCHEMA)
+        part = held.mapInArrow(lodged("decontaminate", forget, run), schema)
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], SCHEMA)
+    return out if out is not None else spark.createDataFrame([], schema)

@@ -7,12 +7,12 @@ sample beyond chance; a runner-up that comes close flags the text as ambiguous.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +23,7 @@ BITS = 14
 WIDTH = len(ORDERS) << BITS
 CHUNK = 1 << 20
 
-_LETTER = re.compile(r"[^\W\d_]").search
+_LETTER = regex.compile(r"\p{L}").search
 _FOLD = np.array([b if b >= 0x80 or chr(b).isalpha() else 0x20 for b in range(256)], dtype=np.uint32)
 
 
@@ -102,7 +102,11 @@ def sample(docs: DataFrame, per_language: int, doc_id: str, text: str, lang: str
 
 
 def train(docs: DataFrame, per_language: int = 1500, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """Fits the classifiers; None without a labelled text. Only sums over the sample reach the driver, a row for each of eight tasks and language."""
+    """Fits the classifiers; None without a labelled text. Only a sum for each language of the sample reaches the driver.
+
+    Rows without an id, a text, a language or a letter are not learned from; very long texts count whole, repeated rows each;
+    a language with few texts gives all it has; extra columns are ignored, whatever their names; an empty table gives no model.
+    """
     ship(docs.sparkSession)
     drawn = materialize(sample(docs, per_language, doc_id, text, lang), "langid-sample")
 
@@ -117,11 +121,14 @@ def train(docs: DataFrame, per_language: int = 1500, doc_id: str = "doc_id", tex
         rows = list(sums.items())
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([v[0] for _, v in rows], pa.int64()), pa.array([v[1].tobytes() for _, v in rows], pa.binary())], names=["lang", "n", "sums"])
 
-    totals: dict[str, list] = {}
-    for r in sorted(drawn.mapInArrow(profile, "lang string, n long, sums binary").collect(), key=lambda r: (r["lang"], r["n"], bytes(r["sums"][:64]))):
-        own = totals.setdefault(r["lang"], [0, np.zeros(WIDTH)])
-        own[0] += r["n"]
-        own[1] += np.frombuffer(r["sums"])
+    # The parts of each language are added by a task of its own, a few of a fixed size for each task that read the sample.
+    def add(parts: pa.Table) -> pa.Table:
+        rows = sorted(zip(parts["n"].to_pylist(), parts["sums"].to_pylist(), strict=True))
+        total = np.sum([np.frombuffer(x) for _, x in rows], axis=0)
+        return pa.table({"lang": parts["lang"][:1], "n": pa.array([sum(n for n, _ in rows)], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "lang string, n long, sums binary"
+    totals = {r["lang"]: (r["n"], np.frombuffer(r["sums"])) for r in drawn.mapInArrow(profile, schema).groupBy("lang").applyInArrow(add, schema).collect()}
     if not totals:
         discard(drawn)
         return None

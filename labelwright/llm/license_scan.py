@@ -72,7 +72,7 @@ class Scanner:
         for piece, uses in found.items():
             self.seeds.add_word(piece, (len(piece), uses))
         self.seeds.make_automaton()
-        self.verify = [regex.compile(f"(?e)(?<= )(?:{regex.escape(n)}){{e<={k}}}(?= )").search for n, _, k in self.notices]
+        self.verify = [regex.compile(f"(?b)(?:{regex.escape(n)}){{e<={k}}}").fullmatch for n, _, k in self.notices]
 
     def windows(self, norm: str) -> dict[int, list[list[int]]]:
         """Merged candidate windows of each notice."""
@@ -89,8 +89,8 @@ class Scanner:
         """(label, start, end, errors, notice length) of every verified place, without overlaps within a notice.
 
         A place begins and ends with whole words. One pass of the distance over a window gives the ends that are worth
-        the regex, which then sees a stretch of the notice's length; exact places need none. So the time grows with the
-        text alone.
+        the regex, which then matches stretches between words there, each as a whole; exact places need none. So the time
+        grows with the text alone, and the errors are the least edits between stretch and notice.
         """
         out = []
         for i, spans in self.windows(norm).items():
@@ -98,15 +98,25 @@ class Scanner:
             for a, b in spans:
                 done = a
                 for end, edits in ends(n, norm, a, min(b, len(norm)), k):
-                    low = max(done, end - len(n) - 2 * k)
                     if not edits and end - len(n) >= done and norm[end - len(n) - 1] == norm[end] == " ":
                         out.append((label, end - len(n), end, 0, len(n)))
                         done = end
-                    elif end > done and (m := self.verify[i](norm, low, min(len(norm), end + k + 1))):
-                        out.append((label, m.start(), m.end(), sum(m.fuzzy_counts), len(n)))
-                        done = m.end()
+                    elif end > done and (best := self.best(i, norm, done, end)):
+                        errors, start, done = best
+                        out.append((label, start, done, errors, len(n)))
         return out
 
+    def best(self, i: int, norm: str, low: int, end: int) -> tuple[int, int, int] | None:
+        """(errors, start, end) of the notice's best place of whole words that ends near there and begins at ``low`` or later."""
+        n, _, k = self.notices[i]
+        gaps = [p for p in range(max(0, low - 1, end - len(n) - 2 * k - 1), min(len(norm), end + k + 1)) if norm[p] == " "]
+        found = []
+        for b in (p for p in gaps if p >= end - k):
+            for a in (p + 1 for p in gaps if p + 1 >= low and abs(b - p - 1 - len(n)) <= k):
+                if m := self.verify[i](norm, a, b):
+                    found.append((sum(m.fuzzy_counts), a, b))
+        return min(found, default=None)
+
 
 @functools.lru_cache(4)
 def scanner(notices: tuple[tuple[str, str], ...], error_rate: float, min_piece: int) -> Scanner:

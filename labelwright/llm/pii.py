@@ -143,9 +143,15 @@ def _phone(m: re.Match, key: bytes, sign: int) -> str | None:
 
 
 def _abroad(m: re.Match, key: bytes, sign: int) -> str | None:
-    """+ and 8 to 15 digits: the first two stay."""
+    """+ and 8 to 15 digits: the first two stay; but a valid national number after +1 is that number in any layout."""
     s = re.sub(r"\D", "", m[0])
-    return refill(m[0], s[:2] + _digits(key, f"phone/{s[:2]}", s[2:], sign)) if 8 <= len(s) <= 15 else None
+    if not 8 <= len(s) <= 15:
+        return None
+    if s[0] != "1" or len(s) != 11:
+        return refill(m[0], s[:2] + _digits(key, f"phone/{s[:2]}", s[2:], sign))
+    if _nanp_ok(s[1:]):
+        return refill(m[0], "1" + _digits(key, "phone", s[1:], sign, _nanp_ok))
+    return refill(m[0], s[:2] + _digits(key, f"phone/{s[:2]}", s[2:], sign, lambda d: not _nanp_ok(s[1] + d)))
 
 
 def _ip(m: re.Match, key: bytes, sign: int) -> str | None:
@@ -179,7 +185,9 @@ def _date(order: str) -> Callable:
 
 
 def _email(m: re.Match, key: bytes, sign: int) -> str | None:
-    return f"{_by_class(key, 'email', m['local'], sign)}@{m['host']}"
+    """The local part, permuted in lower case and written in the old cases, as mail goes by the letters; the host stays."""
+    new = _by_class(key, "email", m["local"].lower(), sign)
+    return "".join(c.upper() if old.isupper() else c for c, old in zip(new, m["local"], strict=True)) + f"@{m['host']}"
 
 
 _HEX = ("0123456789abcdef",)
@@ -272,7 +280,8 @@ def pseudonymise_documents(docs: DataFrame, key: str, keep: list[str], text: str
     A null text stays null with no spans; empty texts and texts without a valid value come back unchanged. Very long
     texts are searched whole. Of two kinds that could stand at one place the first of ``KINDS`` with a valid value wins.
     Null ids and repeated rows give results like any others; other columns are ignored, whatever their names; an empty
-    table gives no rows. The key is a secret of the caller's.
+    table gives no rows. The key is a secret of the caller's. What a format needs stays in clear: the hosts of e-mail
+    addresses, country codes, the first digit of a card, the prefix of an access key.
     """
     ship(docs.sparkSession)
     secret = key.encode()

@@ -290,3 +290,62 @@ def test_alike():
     n = rng.integers(50, 100, 70)
     truth = ((sig[:, None] == sig[None]).sum(-1) >= 22) & (np.minimum(n[:, None], n) >= 0.8 * np.maximum(n[:, None], n)) & ~np.eye(70, dtype=bool)
     assert (jaccard_join._alike(n, sig, 22 / 64, 0.8) == truth).all() and truth.any()
+
+
+def test_a_phone_number_has_one_pseudonym_in_every_layout():
+    rnd, images = random.Random(11), set()
+    numbers = {f"{rnd.randint(2, 9)}{rnd.randrange(100):02d}{rnd.randint(2, 9)}{rnd.randrange(10**6):06d}" for _ in range(1000)}
+    layouts = ("{}-{}-{}", "({}) {}-{}", "{}.{}.{}", "+1 {}-{}-{}", "+1{}{}{}", "+1 ({}) {} {}")
+    for s in numbers:
+        texts = ["call " + x.format(s[:3], s[3:6], s[6:]) for x in layouts]
+        new = [pii.pseudonymise(t, b"key")[0] for t in texts]
+        digits = {"".join(c for c in t if c.isdigit())[-10:] for t in new}
+        assert len(digits) == 1 and [pii.pseudonymise(t, b"key", -1)[0] for t in new] == texts
+        assert all("".join(c for c in a if not c.isdigit()) == "".join(c for c in b if not c.isdigit()) and b.startswith("call +1") == a.startswith("call +1") for a, b in zip(texts, new, strict=True))
+        images |= digits
+    assert len(images) == len(numbers)
+    odd = "+11234567890 +442071838750 +1055555"
+    assert pii.pseudonymise(pii.pseudonymise(odd, b"key")[0], b"key", -1)[0] == odd
+
+
+def test_mail_addresses_are_linked_whatever_their_case():
+    new = [pii.pseudonymise(f"{x}@mail.example.org", b"key")[0].split("@")[0] for x in ("Bob.Lee7", "bob.lee7", "BOB.LEE7")]
+    assert len({x.lower() for x in new}) == 1 and new[1].islower() and new[2].isupper() and new[0][0].isupper() and new[0][1:3].islower()
+    assert pii.pseudonymise(f"{new[0]}@mail.example.org", b"key", -1)[0] == "Bob.Lee7@mail.example.org"
+
+
+def test_signs_are_no_letters():
+    assert all(langid.features(t) is None for t in ("½", "²", "㉈ 12 _", "٣", "", "\u0301")) and all(langid.features(t) is not None for t in ("ª", "é", "中", "x2"))
+
+
+def test_errors_of_a_notice_are_its_edit_distance():
+    scan = license_scan.scanner(tuple(license_scan.NOTICES.items()), 0.12, 1)
+    for t, e in (("hall rights reserved", 1), ("small rights reserved", 2), ("all rights reservedxy", 2), ("all right reserved", 1), ("all rights reserved", 0), ("tall rights preserved", 2)):
+        assert [x[3] for x in scan.matches(f" some {t} here ") if x[0] == "reserved"] == [e], t
+    assert not [x for x in scan.matches(" some overall rightly reserved here ") if x[0] == "reserved"]
+    rnd = random.Random(5)
+    for _ in range(300):
+        notice = rnd.choice(list(license_scan.NOTICES))
+        w = list(notice)
+        for _ in range(rnd.randrange(4)):
+            at = rnd.randrange(len(w))
+            w[at : at + rnd.randrange(2)] = rnd.choice(["", "q", "z", "ab"])
+        norm = f" some {''.join(w).strip()} here "
+        for label, a, b, e, n in scan.matches(norm):
+            known = [x for x, y in license_scan.NOTICES.items() if y == label and len(x) == n]
+            assert norm[a - 1] == norm[b] == " " and min(whole_distance(x, norm[a:b]) for x in known) == e
+
+
+def test_places_of_items_are_cut_at_their_words():
+    item = "the quick brown fox jumps over the lazy dog and runs"
+    own = decontaminate.Items(((1, item),), 0.08, 12)
+    rnd = random.Random(3)
+    for _ in range(300):
+        w = item.split(" ")
+        if rnd.random() < 0.5:
+            w[rnd.randrange(1, 9)] += rnd.choice("xyz")
+        text = decontaminate.normalise(" ".join([*rnd.choices("abc", k=rnd.randrange(3)), *w, *rnd.choices("abc", k=rnd.randrange(3))]))
+        for _, e, a, b in own.hits(text):
+            assert text[a:b] == " ".join(w) and e == whole_distance(item, text[a:b])
+    (_, e, a, b), = own.hits("bathe quick brown fox jumps over the lazy dog and runs")
+    assert e == 1 and "bathe quick brown fox jumps over the lazy dog and runs"[a:b].endswith("dog and runs")
