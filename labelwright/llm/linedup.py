@@ -14,7 +14,7 @@ from .common import discard, let, materialize, sized
 from .quality import NOT_SPACE
 
 PREFIX = "__line_"
-LINE, SITE, TEXT, POS, KEY = (PREFIX + x for x in ("digest", "site", "text", "pos", "key"))
+LINE, SITE, TEXT, POS, KEY, ROWS = (PREFIX + x for x in ("digest", "site", "text", "pos", "key", "rows"))
 
 
 def _digest(c: Column) -> Column:
@@ -52,13 +52,14 @@ def _without(parts: Column, places: Column) -> Column:
     return let(mask, lambda m: F.filter(parts, lambda _, i: ~F.get(m, i)))
 
 
-def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = 10, keep_wholly_spread: bool = False, total_as: str = "line_total", removed_as: str = "line_removed", wholly_as: str = "wholly_spread") -> DataFrame:
+def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_sites: int = 10, keep_copies: bool = False, total_as: str = "line_total", removed_as: str = "line_removed", wholly_as: str = "wholly_spread") -> DataFrame:
     """The rows with boilerplate lines taken out of the text, and line_total, line_removed (lines that have a word) and
     wholly_spread.
 
     A line is boilerplate if it stands on at least ``min_sites`` distinct sites; it goes from every text, whatever its
     share of the words. A text all of whose lines are boilerplate has nothing of its own and is marked wholly_spread;
-    ``keep_wholly_spread`` leaves the lines of such texts, which are copies line by line, to near-duplicate removal.
+    with ``keep_copies`` such a text keeps its lines if the same text stands on another row, as near-duplicate removal then
+    leaves one of these rows; a text that is made of boilerplate and stands alone loses them like any other.
     Lines are compared as they are; blank lines stay. Null texts stay null and count no lines, and are not wholly
     spread; nor is an empty text. Null sites are one site. Repeated rows are treated alike, and of a line that repeats
     in a text all places go. Very long texts are cut whole, in time proportional to their length. Other columns pass
@@ -66,7 +67,7 @@ def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_s
     """
     lines = materialize(line_table(docs, site, text), "lines")
     spread = spread_lines(lines, min_sites)
-    found = lines.select(TEXT, POS, LINE).join(sized(spread), LINE, "left_semi").groupBy(TEXT).agg(F.sort_array(F.collect_set(POS)).alias(POS))
+    found = lines.select(TEXT, POS, LINE).join(sized(spread), LINE, "left_semi").groupBy(TEXT).agg(F.sort_array(F.collect_set(POS)).alias(POS), F.count(F.lit(1)).alias(ROWS))
     found = materialize(found, "line-places")
     discard(lines, spread)
     keyed = docs.withColumn(KEY, _digest(docs[text]))
@@ -77,7 +78,8 @@ def dedup_lines(docs: DataFrame, site: str = "source", text: str = "text", min_s
     n_lines = F.when(F.col(text).isNull(), 0).otherwise(n_lines).cast("long")
     counted = joined.withColumns({PREFIX + "total": n_lines, PREFIX + "hits": F.when(hit, F.size(POS)).otherwise(0).cast("long")})
     wholly = hit & (F.col(PREFIX + "hits") == F.col(PREFIX + "total"))
-    cut = hit & ~wholly if keep_wholly_spread else hit
+    # A text's places were met once for each row that has it.
+    cut = hit & ~(wholly & (F.col(ROWS) > F.size(POS))) if keep_copies else hit
     rest = F.array_join(_without(parts, F.col(POS)), "\n")
     out = {c: F.when(cut, rest).otherwise(F.col(c)) if c == text else F.col(c) for c in docs.columns if c not in (total_as, removed_as, wholly_as)}
     return counted.select(

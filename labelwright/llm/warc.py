@@ -55,14 +55,19 @@ def _bounds(pages: DataFrame, page_id: str, n_shards: int, rows: int) -> list[in
     return sorted({int(drawn[len(drawn) * i // n_shards]) for i in range(1, n_shards)}) if len(drawn) else []
 
 
-def _records(pages: DataFrame, page_id: str, url: str, payload: str, least: int) -> DataFrame:
-    """page_id, url, payload, digest, and first_page where an equal payload of at least ``least`` bytes has a smaller id.
+def _payloads(pages: DataFrame, page_id: str, url: str, payload: str) -> DataFrame:
+    """page_id, url, payload, digest of every row."""
+    held = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"), F.coalesce(pages[payload], F.lit("")).cast("binary").alias("payload"))
+    return held.withColumn("digest", F.unhex(F.sha2("payload", 256)))
+
+
+def _records(held: DataFrame, narrow: DataFrame, least: int) -> DataFrame:
+    """The payloads, and first_page where an equal payload of at least ``least`` bytes has a smaller id; narrow: page_id,
+    digest and size of every row, written.
 
     The smallest id of each repeated digest is found over narrow rows, by partial sums; payloads are not moved for it.
     """
-    held = pages.select(pages[page_id].cast("long").alias("page_id"), pages[url].alias("url"), F.coalesce(pages[payload], F.lit("")).cast("binary").alias("payload"))
-    held = held.withColumn("digest", F.unhex(F.sha2("payload", 256)))
-    narrow = held.select("page_id", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= least)
+    narrow = narrow.filter(F.col("size") >= least)
     firsts = narrow.groupBy("digest").agg(F.min("page_id").alias("first_page"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     # Written first: small ones are broadcast, and beyond that a digest with very many rows can be split in the join.
     firsts = sized(materialize(firsts, "firsts"))
@@ -128,9 +133,11 @@ def write(pages: DataFrame, base: str, roll_bytes: int = 256 << 20, shard_rows:
     """
     spark = pages.sparkSession
     ship(spark)
-    rows = pages.count()
+    held = _payloads(pages, page_id, url, payload)
+    narrow = materialize(held.select("page_id", "digest", F.octet_length("payload").alias("size")), "payload-digests")
+    rows = narrow.count()
     n_shards = max(-(-rows // shard_rows), min(64, rows // 256 + 1))
-    bounds = np.array(_bounds(pages, page_id, n_shards, rows), dtype=np.int64)
+    bounds = np.array(_bounds(narrow, "page_id", n_shards, rows), dtype=np.int64)
 
     @F.pandas_udf("int")
     def shard_of(ids: pd.Series) -> pd.Series:
@@ -163,7 +170,7 @@ def write(pages: DataFrame, base: str, roll_bytes: int = 256 << 20, shard_rows:
 
     known = shard_of(F.coalesce("page_id", F.lit(0)))
     shard = F.when(F.col("page_id").isNull(), F.pmod(F.xxhash64("digest"), F.lit(n_shards)).cast("int")).otherwise(known)
-    records = _records(pages, page_id, url, payload, revisit_from).withColumn("shard", shard)
+    records = _records(held, narrow, revisit_from).withColumn("shard", shard)
     sorted_ = records.repartitionById(n_shards, "shard").sortWithinPartitions("shard", "page_id", "digest", "kind", "url")
     sorted_.mapInArrow(run, MANIFEST).write.parquet(f"{base}/_attempts")
 
@@ -262,4 +269,5 @@ def read(spark: SparkSession, base: str, with_payload: bool = True) -> DataFrame
 
     manifest = spark.read.schema(MANIFEST).parquet(f"{base}/_manifest")
     files = max(1, manifest.count())
-    return manifest.select("path").repartition(files, "path").mapInArrow(run, schema)
+    # Dealt one by one, so that each task has a file.
+    return manifest.select("path").repartition(files).mapInArrow(run, schema)

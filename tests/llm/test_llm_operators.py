@@ -70,8 +70,8 @@ def test_line_dedup(spark, empty):
     assert got[90]["text"] is None and got[91]["text"] == "" and (got[92]["text"], got[92]["line_removed"]) == ("", 2)
     assert got[None]["text"] == "x" and got[93]["text"] == "short" and not got[93]["wholly_spread"]
     assert got[94]["text"] == "\n".join(f"long {i}" for i in range(20_000)) and got[94]["line_removed"] == 20_000
-    kept = {r["doc_id"]: r for r in linedup.dedup_lines(docs, keep_wholly_spread=True).collect()}
-    assert kept[55]["text"] == "copied line one\n\ncopied line two" and kept[92]["text"] == "menu line\nmenu line" and kept[93]["text"] == "short"
+    kept = {r["doc_id"]: r for r in linedup.dedup_lines(docs, keep_copies=True).collect()}
+    assert kept[55]["text"] == "copied line one\n\ncopied line two" and kept[92]["text"] == "" and kept[93]["text"] == "short"
     assert linedup.dedup_lines(empty).count() == 0
 
 

@@ -24,10 +24,10 @@ def test_stages(spark, tmp_path):
 
 def test_boilerplate_goes_whatever_its_share(spark, tmp_path):
     menu = " ".join(f"menu{j}" for j in range(20))
-    rows = [(i, f"{menu}\nown{i} line", "en", f"s{i}", 1) for i in range(12)] + [(50, f"{menu}\n", "en", "s1", 1)]
+    rows = [(i, f"{menu}\nown{i} line", "en", f"s{i}", 1) for i in range(12)] + [(50, f"{menu}\n", "en", "s1", 1), (60, menu, "en", "s2", 1), (61, menu, "en", "s3", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in cp.line_dedup(spark, docs, str(tmp_path)).collect()}
-    assert got == {i: (f"own{i} line", len(f"own{i} line")) for i in range(12)} | {50: (f"{menu}\n", 1)}
+    assert got == {i: (f"own{i} line", len(f"own{i} line")) for i in range(12)} | {50: ("", 0), 60: (menu, 1), 61: (menu, 1)}  # A text of boilerplate keeps it only if it stands twice.
 
 
 def test_null_ids_are_judged_by_their_texts(spark, tmp_path):
