@@ -216,6 +216,7 @@ def test_stars_and_best_candidates(n):
     met, pairs = jaccard_join._best(size, sig, label, 0.64, 0.8)
     apart = near & (label[:, None] != label)
     assert (met == apart.any(1)).all() and all(apart[i, j] for i, j in pairs)
+    assert len(pairs) == sum(len({bool((label[j] == label[0]) == (label[i] == label[0])) for j in np.flatnonzero(apart[:, i])}) for i in np.flatnonzero(label != label[0]))
     same = (sig[:, None] == sig[None, :20]).sum(-1)
     assert all(same[i, j] == same[apart[:, j] & ((label == label[0]) == (label[i] == label[0])), j].max() for i, j in pairs if j < 20)
 
