@@ -1,48 +1,47 @@
-"""Keyframes of videos (F10, V1-V4, O6, A11-A13): ordered folds within a video, aggregates across them."""
+"""Keyframes of videos (F10, V1-V4, O6, A11-A13): frames in order within a video, aggregates across them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelwright.functions.metrics import frame_discard, frame_score, frame_view
 
 
-def correlation(a: Column, b: Column) -> Column:
-    """Pearson's correlation of two histograms; 1 if both are flat."""
-    mean = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v) / F.size(x)
-    away = lambda x: F.transform(F.array(mean(x)), lambda m: F.transform(x, lambda v: v - m))[0]
-    dot = lambda p, q: F.aggregate(F.zip_with(p, q, lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
-    both = F.array(F.struct(away(a).alias("p"), away(b).alias("q")))
-
-    def of(x: Column) -> Column:
-        norm = dot(x["p"], x["p"]) * dot(x["q"], x["q"])
-        return F.when(norm > 0, dot(x["p"], x["q"]) / F.sqrt(norm)).otherwise(1.0)
-
-    return F.transform(both, of)[0]
-
-
-def distinct_frames(frames: Column, most: float = 0.94) -> Column:
-    """V2: frames in order, without those whose histogram correlates more than ``most`` with one that is kept."""
-    element = frames
-
-    def step(kept: Column, f: Column) -> Column:
-        return F.when(F.exists(kept, lambda k: correlation(k["histogram"], f["histogram"]) > most), kept).otherwise(F.array_append(kept, f))
+def distinct_rows(frames: DataFrame, video: str, order: str, histogram: str = "histogram", most: float = 0.94) -> DataFrame:
+    """V2 over rows: frames of each video in order, without those whose histogram correlates more than ``most`` with one
+    that is kept.
 
-    return F.aggregate(frames, F.slice(element, 1, 0), step)
-
-
-def strided(items: Column, most: int = 8) -> Column:
-    """At most that many items, evenly taken: the one at int(i * n / most)."""
-    n = F.size(items)
-    taken = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.get(items, F.floor(i * (n / F.lit(float(most)))).cast("int")))
-    return F.when(n > most, taken).otherwise(items)
+    Frames are sorted by Spark and pass through in batches; a task holds the histograms that a video keeps, not its
+    frames. What is flat correlates with all.
+    """
+    at, key = frames.columns.index(histogram), frames.columns.index(video)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, []
+        for batch in batches:
+            taken = []
+            for i, (v, h) in enumerate(zip(batch.column(key).to_pylist(), batch.column(at).to_pylist(), strict=True)):
+                if i == 0 and now is None or v != now:
+                    now, kept = v, []
+                x = np.array(h, dtype=np.float64)
+                x -= x.mean()
+                size = float(x @ x)
+                if not any(size * other <= 0 or float(x @ y) / np.sqrt(size * other) > most for y, other in kept):
+                    kept.append((x, size))
+                    taken.append(i)
+            yield batch.take(pa.array(taken, pa.int64()))
+
+    sorted_ = frames.repartition(video).sortWithinPartitions(video, order)
+    return sorted_.mapInArrow(run, frames.schema)
 
 
 def strided_rows(frames: DataFrame, video: str, order: str, most: int = 8) -> DataFrame:
     """O6 over rows: those frames of each video, with their position."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(video)
     i, n = F.row_number().over(w.orderBy(order)) - 1, F.count(F.lit(1)).over(w)
     ranked = frames.withColumns({"__i": i, "__n": n}).withColumn("__j", F.ceil(F.col("__i") * most / F.col("__n")))
@@ -66,28 +65,27 @@ def keyframes(frames: DataFrame, video: str = "video_id", most: int = 8, min_sha
         if name not in frames.columns:
             frames = frames.withColumn(name, F.lit(value))
     own = ["frame_num", "sharpness", "brightness", "contrast", "edge_density", "quality_score", "upper", "lower", "aspect", "histogram"]
-    g = gated(frames, min_sharpness)
-    kept = F.when(F.col("discard_reason").isNull(), F.struct(*own))
+    g = gated(frames, min_sharpness).select(video, *own, "discard_reason")
     fallback = F.struct("frame_num", F.lit(40.0).alias("sharpness"), "brightness", F.lit(25.0).alias("contrast"), F.lit(0.05).alias("edge_density"), F.lit(60.0).alias("quality_score"), "upper", "lower", "aspect", "histogram")
     per = g.groupBy(video).agg(
         F.count(F.lit(1)).alias("frames_sampled"),
         F.count_if(F.col("discard_reason") == "motion_blur").alias("motion_blur"),
         F.count_if(F.col("discard_reason") == "poor_lighting").alias("poor_lighting"),
-        F.array_sort(F.collect_list(kept)).alias("kept"),
+        F.count_if(F.col("discard_reason").isNull()).alias("kept"),
         F.min_by(fallback, "frame_num").alias("first"),
     )
-    per = per.withColumn("kept", F.when(F.size("kept") == 0, F.array("first")).otherwise(F.col("kept")))
-    per = per.withColumn("distinct", distinct_frames(F.col("kept"))).withColumn("chosen", strided(F.col("distinct"), most))
-    total = F.size("chosen")
-    view = lambda x, i: frame_view(i, total, x["upper"], x["lower"], x["aspect"])
-    per = per.withColumn(
-        "keyframes",
-        F.transform("chosen", lambda x, i: F.struct(x["frame_num"].alias("frame_index"), i.alias("keyframe_order"), view(x, i).alias("v"), F.round(x["quality_score"], 1).alias("quality_score"), F.round(x["sharpness"], 1).alias("sharpness"))),
-    )
-    duplicates = (F.size("kept") - F.size("distinct")).cast("long")
-    return per.select(
+    rows = g.filter(F.col("discard_reason").isNull()).drop("discard_reason").unionByName(per.filter("kept = 0").select(video, "first.*"))
+    distinct = distinct_rows(rows, video, "frame_num").drop("histogram")
+    chosen = strided_rows(distinct.withColumn("distinct", F.count(F.lit(1)).over(Window.partitionBy(video))), video, "frame_num", most)
+    v = frame_view(F.col("position"), F.least(F.col("distinct"), F.lit(most)), F.col("upper"), F.col("lower"), F.col("aspect"))
+    chosen = chosen.select(video, "distinct", F.struct("position", F.col("frame_num").alias("frame_index"), v.alias("v"), F.round("quality_score", 1).alias("quality_score"), F.round("sharpness", 1).alias("sharpness")).alias("k"))
+    # No more than ``most`` rows a video.
+    keys = chosen.groupBy(video).agg(F.max("distinct").alias("distinct"), F.array_sort(F.collect_list("k")).alias("keyframes"))
+    out = per.drop("first").join(keys, video)
+    duplicates = F.greatest(F.col("kept"), F.lit(1)) - F.col("distinct")
+    return out.select(
         video, "frames_sampled", "motion_blur", "poor_lighting", duplicates.alias("duplicate_views"), (F.col("motion_blur") + F.col("poor_lighting") + duplicates).alias("frames_discarded"),
-        F.transform("keyframes", lambda k: F.struct(k["frame_index"].alias("frame_index"), k["keyframe_order"].alias("keyframe_order"), k["v"]["view"].alias("view"), k["v"]["confidence"].alias("view_confidence"), k["quality_score"].alias("quality_score"), k["sharpness"].alias("sharpness"))).alias("keyframes"),
+        F.transform("keyframes", lambda k: F.struct(k["frame_index"].alias("frame_index"), k["position"].alias("keyframe_order"), k["v"]["view"].alias("view"), k["v"]["confidence"].alias("view_confidence"), k["quality_score"].alias("quality_score"), k["sharpness"].alias("sharpness"))).alias("keyframes"),
     )
 
 
@@ -104,8 +102,6 @@ def missing_views(rows: DataFrame, video: str = "video_id") -> DataFrame:
 
 def mean_overlap(rows: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """The mean of |difference| scores of consecutive members; rows hold a score in 0 to 1 each."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(group).orderBy(order)
     pairs = rows.withColumn("__next", F.lead(value).over(w)).filter(F.col("__next").isNotNull())
     return pairs.groupBy(group).agg(F.avg(1.0 - F.abs(F.col(value) - F.col("__next"))).alias("mean_overlap"))

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import extract, metrics, profile, rules, text, vision
-from .operators import additives, boxes, consensus, dashboards, frames, images, merge, reports, training
+from .operators import additives, boxes, consensus, dashboards, frames, images, merge, overlap, passes, reports, training
 from .plans.inspection import inspect
-from .sources import demo, dimensions, facts, labels, published, tables
+from .sources import demo, dimensions, drawn, facts, labels, pictures, published, tables
 from .streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -702,21 +702,40 @@ def zone_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("product_id", F.inline(text.once(metrics.zone_boxes(F.col("fields")))))
 
 
-@query(
-    """SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN 'natural_90deg' ELSE 'natural_90deg,natural_270deg,variant_crop,variant_a' END AS ran,
-    CASE WHEN event_id % 3 = 0 THEN 0 WHEN event_id % 3 = 1 THEN 1 ELSE 4 END::BIGINT AS retries FROM events"""
-)
-def reading_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M9: which further readings a controller makes."""
+def _passes_sql() -> str:
+    """The fold over passes, a step each, with readings by key as in :func:`staged_readings`."""
+    want = {
+        "natural_90deg": "aspect >= 1.15 OR fc < 0.65 OR fs < 0.20", "natural_270deg": "fc < 0.40 AND (n <= 1 OR best < 0.50)", "variant_crop": "retries < 5", "variant_a": "retries < 5 AND enhance",
+        "variant_b": "retries < 5 AND enhance", "variant_d": "retries < 5 AND enhance", "variant_c": "retries < 5 AND enlarge", "region": "best < 0.25 AND len < 15",
+    }
+    steps = ["""s0 AS (SELECT event_id AS id, CASE WHEN event_id * 3 % 60 = 0 THEN 0.0 ELSE (event_id * 7 % 100) / 100 END::DOUBLE AS fc, (event_id % 50) / 100 AS fs, 0.8::DOUBLE + (event_id % 10) * 0.07::DOUBLE AS aspect, fc AS best, event_id * 3 % 60 AS len,
+      0 AS retries, (fc > 0)::INT AS n, []::VARCHAR[] AS ran, false AS enhance, false AS enlarge FROM events)"""]
+    for i, (name, sql) in enumerate(want.items(), 1):
+        enhance = "retries < 5 AND (best < 0.70 OR len < 40)" if name == "variant_a" else "enhance"
+        enlarge = "retries < 5 AND (best < 0.45 OR len < 40)" if name == "variant_c" else "enlarge"
+        counts = "false" if name == "region" else "got" if i <= 3 else "runs"
+        steps.append(
+            f"""a{i} AS (SELECT * REPLACE ({enhance} AS enhance, {enlarge} AS enlarge), (id * 5 + {i} * 11) % 70 AS tl, ((id * 13 + {i} * 17) % 100) / 100 AS c FROM s{i - 1}),
+            b{i} AS (SELECT *, (id + {i}) % 3 <> 0 AND ({sql}) AS runs, runs AND tl > 0 AS got FROM a{i}),
+            s{i} AS (SELECT id, fc, fs, aspect, CASE WHEN got THEN greatest(best, c) ELSE best END AS best, CASE WHEN got THEN greatest(len, tl) ELSE len END AS len, retries + ({counts})::INT AS retries, n + got::INT AS n,
+              CASE WHEN runs THEN list_append(ran, '{name}') ELSE ran END AS ran, enhance, enlarge FROM b{i})"""
+        )
+    return "WITH " + ", ".join(steps) + " SELECT id AS label_id, array_to_string(ran, ',') AS ran, retries::INT AS retries, n::INT AS passes, best AS best_confidence FROM s8"
+
+
+@query(_passes_sql())
+def staged_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M9: eight rounds of readings, each for the labels that still ask for it."""
     e = F.col("event_id")
-    long = "MRP Rs. 905.00 (incl. of all taxes) and so on and on"
-    result = lambda t, c: F.struct(F.lit(t).alias("text"), F.lit(c).alias("confidence"))
-    passes = F.create_map(F.lit("natural"), F.struct(F.when(e % 3 == 2, "").otherwise(long).alias("text"), F.lit(0.9).alias("confidence")), F.lit("natural_90deg"), result(long, 0.3), F.lit("natural_270deg"), result("x", 0.2), F.lit("variant_crop"), result(long, 0.4), F.lit("variant_a"), result(long, 0.95))
-    first = F.when(e % 3 == 0, 0.9).when(e % 3 == 1, 0.9).otherwise(0.0)
-    aspect = F.when(e % 3 == 1, 1.5).otherwise(1.0)
-    has = F.when(e % 3 == 2, F.array(*map(F.lit, ("natural_90deg", "natural_270deg", "variant_crop", "variant_a")))).otherwise(F.array(F.lit("natural_90deg")))
-    plan = metrics.reading_plan(first, F.lit(0.45), aspect, passes, has)
-    return tables.table(spark, sf_dir, "events").select("event_id", plan.alias("p")).select("event_id", F.array_join("p.ran", ",").alias("ran"), F.col("p.retries").cast("long").alias("retries"))
+    events = tables.table(spark, sf_dir, "events").select("event_id")
+    length = (e * 3 % 60).cast("int")
+    first = events.select(e.alias("label_id"), F.when(length == 0, 0.0).otherwise((e * 7 % 100) / 100).alias("first_confidence"), ((e % 50) / 100).alias("first_score"), (F.lit(0.8) + (e % 10) * F.lit(0.07)).alias("aspect"), F.repeat(F.lit("x"), length).alias("text"))
+    path = published.shared_folder(spark, "readings")
+    each = events.select("event_id", F.posexplode(F.array(*map(F.lit, passes.PASSES))).alias("i", "pass")).withColumn("i", F.col("i") + 1).filter((e + F.col("i")) % 3 != 0)
+    each.select(e.alias("label_id"), "pass", F.repeat(F.lit("y"), ((e * 5 + F.col("i") * 11) % 70).cast("int")).alias("text"), ((e * 13 + F.col("i") * 17) % 100 / 100).alias("confidence")).write.partitionBy("pass").parquet(path)
+    readings = spark.read.schema("label_id long, text string, confidence double, pass string").parquet(path)
+    found = passes.staged(first, passes.from_table(readings))
+    return found.select("label_id", F.array_join("ran", ",").alias("ran"), "retries", "passes", "best_confidence")
 
 
 @query("SELECT p_partkey AS product_id, CASE WHEN p_size < 2 THEN 'INSUFFICIENT_IMAGES' ELSE 'NO_STITCHER' END AS fallback_reason, CASE WHEN p_size < 2 THEN 0.0 ELSE 0.5 END::DOUBLE AS overlap_confidence FROM part")
@@ -962,6 +981,71 @@ def inferred_ingredients(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("product_id", "i.found", "i.raw_text", F.array_join(F.transform("i.items", lambda x: x["name"]), ", ").alias("names"))
 
 
+# Pictures, made of rows, written, read and judged.
+
+
+@query(
+    """WITH p AS (SELECT s_suppkey AS image_id, (s_suppkey * 11 % 256)::DOUBLE AS a, (s_suppkey * 7 % 256)::DOUBLE AS b, CASE WHEN s_suppkey % 3 = 0 THEN 200.0 ELSE 304.0 END AS w, 208.0 AS h FROM supplier),
+    m AS (SELECT image_id, w, h, 4 * (b - a) * (b - a) AS sharpness, (a + b) / 2 AS brightness, abs(b - a) / 2 AS contrast, ((a > 252)::INT + (b > 252)::INT) / 2 AS glare, abs(b - a) * sqrt(2 / w * (1 - 2 / w)) AS noise,
+      CASE WHEN 4 * abs(b - a) > 150 THEN 2 / w ELSE 0 END AS edges FROM p)
+    SELECT image_id, array_to_string(list_filter([CASE WHEN w < 300 THEN 'resolution' END, CASE WHEN sharpness < 40 THEN 'blur' END, CASE WHEN brightness < 30 THEN 'dark' WHEN brightness > 245 THEN 'overexposed' END, CASE WHEN contrast < 20 THEN 'contrast' END,
+        CASE WHEN glare > 0.92 AND contrast < 25 THEN 'glare' END, CASE WHEN noise > 35 THEN 'noise' END, CASE WHEN edges < 0.005 AND sharpness < 60 THEN 'no text' END], lambda x: x IS NOT NULL), ',') AS reasons,
+      round(least(1, sharpness / 300) * 35 + least(1, contrast / 60) * 25 + (1 - abs(brightness - 128) / 128) * 20 + least(1, w * h / 1080000) * 20, 1) AS quality_score FROM m"""
+)
+def picture_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Striped pictures written as PNG files, read from there, decoded, measured and judged."""
+    spark.dataSource.register(pictures.PictureSink)
+    k = F.col("s_suppkey")
+    rows = tables.table(spark, sf_dir, "supplier").select(F.concat(k.cast("string"), F.lit(".png")).alias("name"), F.when(k % 3 == 0, 200).otherwise(304).alias("w"), (k * 11 % 256).cast("int").alias("a"), (k * 7 % 256).cast("int").alias("b"))
+    made = drawn.drawn(rows, lambda w, a, b: drawn.stripes(w, 208, a, b), "w", "a", "b")
+    path = published.shared_folder(spark, "pictures")
+    made.select("name", "width", "height", "pixels").write.format("labelwright_pictures").option("path", path).mode("append").save()
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.png").load(path)
+    read = pictures.decoded(files.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "content"))
+    judged = images.image_metrics(read).select("image_id", metrics.quality(F.struct("width", "height", "sharpness", "brightness", "contrast", "glare_fraction", "noise", "skew", "edge_density")).alias("q"))
+    return judged.select("image_id", F.array_join("q.rejection_reasons", ",").alias("reasons"), "q.quality_score")
+
+
+@query(
+    """WITH f AS (SELECT c_nationkey AS v, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS n, (c_custkey * 11 % 256)::DOUBLE AS a, (c_custkey * 7 % 256)::DOUBLE AS b FROM customer),
+    m AS (SELECT v, n, 4 * (b - a) * (b - a) AS sharpness, (a + b) / 2 AS brightness, abs(b - a) / 2 AS contrast FROM f WHERE n % 4 = 0)
+    SELECT v::VARCHAR AS video, n::BIGINT AS frame_num, round(sharpness, 4) AS sharpness, brightness, contrast, CASE WHEN sharpness < 35 THEN 'motion_blur' WHEN brightness < 25 OR brightness > 245 OR contrast < 18 THEN 'poor_lighting' END AS discard_reason FROM m"""
+)
+def sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Videos of six frames a second, a frame for each customer of a nation; one in four is read and judged."""
+    spark.dataSource.register(pictures.VideoSource)
+    k = F.col("c_custkey")
+    rows = tables.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("video"), k.alias("frame_num"), (k * 11 % 256).cast("int").alias("a"), (k * 7 % 256).cast("int").alias("b"))
+    path = published.shared_folder(spark, "videos")
+    pictures.write_videos(drawn.drawn(rows, lambda a, b: drawn.stripes(16, 16, a, b), "a", "b"), path, (6, 1)).agg(F.sum("frames")).collect()
+    found = spark.read.format("labelwright_video").option("path", path).load()
+    g = frames.gated(images.frame_metrics(found))
+    return g.select("video", "frame_num", F.round("sharpness", 4).alias("sharpness"), "brightness", "contrast", "discard_reason")
+
+
+@query(
+    """SELECT s_suppkey AS image_id, (10 + s_suppkey % 60)::INT AS x1, (10 + s_suppkey % 70)::INT AS y1, (10 + s_suppkey % 60 + 8 + s_suppkey % 12)::INT AS x2, (10 + s_suppkey % 70 + 8 + s_suppkey % 9)::INT AS y2 FROM supplier"""
+)
+def text_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stable regions of pictures with one dark block each, merged."""
+    k = F.col("s_suppkey").cast("int")
+    rows = tables.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("image_id"), (10 + k % 60).alias("x"), (10 + k % 70).alias("y"), (8 + k % 12).alias("w"), (8 + k % 9).alias("h"))
+    found = images.text_regions(drawn.drawn(rows, lambda x, y, w, h: drawn.block(120, 100, x, y, w, h), "x", "y", "w", "h"))
+    return found.select("image_id", F.inline(text.once(boxes.merge_close(F.col("boxes")))))
+
+
+@query(
+    """WITH p AS (SELECT s_nationkey AS g, s_suppkey AS k, s_suppkey % 3 <> 0 AS drawn, lead(s_suppkey % 3 <> 0) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS next FROM supplier)
+    SELECT g AS nation, count(*)::BIGINT AS n_images, coalesce(round(avg(CASE WHEN next IS NOT NULL THEN (drawn AND next)::INT END), 6), 0)::DOUBLE AS overlap_confidence FROM p GROUP BY g"""
+)
+def panorama_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean overlap of neighbouring pictures of a nation, which show the same pattern or nothing."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    rows = tables.table(spark, sf_dir, "supplier").select(n.alias("nation"), k.alias("position"), F.when(k % 3 != 0, n.cast("int")).alias("seed"))
+    found = overlap.panoramas(drawn.drawn(rows, drawn.texture, "seed"), "nation", "position")
+    return found.select("nation", "n_images", F.round("overlap_confidence", 6).alias("overlap_confidence"))
+
+
 @query(
     """WITH p AS (SELECT p_partkey AS image_id, (p_partkey % 200)::DOUBLE AS a, (p_partkey * 7 % 256)::DOUBLE AS b, 16.0 AS w FROM part)
     SELECT image_id, round(4 * (b - a) * (b - a), 4) AS sharpness, round((a + b) / 2, 4) AS brightness, round(abs(b - a) / 2, 4) AS contrast, ((a > 252)::INT + (b > 252)::INT) / 2 AS glare_fraction, round(abs(b - a) * sqrt(2 / w * (1 - 2 / w)), 4) AS noise FROM p"""
