@@ -90,7 +90,8 @@ def decode(labels: DataFrame, known: DataFrame, key: str, text: str = "text", st
     t = F.coalesce(F.col(text), F.lit(""))
     base = labels.select(key, t.alias("__text"))
     base = base.select(key, once(codes(F.col("__text"))).alias("codes"), once(built(("ingredients",), lambda: once(ingredients(F.col("__text"))))["items"]["name"]).alias("names"))
-    coded = base.select(key, F.posexplode("codes").alias("at", "c")).select(key, "at", "c.raw", "c.num")
+    # Outer: else the optimizer asks for the arrays' sizes first, and makes them once more for that.
+    coded = base.select(key, F.posexplode_outer("codes").alias("at", "c")).filter("c is not null").select(key, "at", "c.raw", "c.num")
     index = alias_index(known)
     answers = resolve_tokens(coded.select("raw", "num").distinct(), index, strict)
     more = [c for c in known.columns if c not in ("ordinal", "aliases", *FOUND)]
@@ -102,7 +103,7 @@ def decode(labels: DataFrame, known: DataFrame, key: str, text: str = "text", st
         F.coalesce("risk_level", F.lit("yellow")).alias("risk_level"), F.col("raw").alias("detected_token"), F.col("identifier").isNotNull().alias("recognized"), *more,
     )
     said = F.transform("codes", lambda c: F.concat(F.lit("INS "), c["num"]))
-    items = base.select(key, said.alias("said"), F.posexplode("names").alias("at", "name"))
+    items = base.select(key, said.alias("said"), F.posexplode_outer("names").alias("at", "name")).filter("name is not null")
     met = resolve_names(items.select("name").distinct(), known).join(record, "ordinal")
     named = items.join(met, "name").filter(~F.array_contains("said", F.col("identifier")))
     named = named.groupBy(key, "ordinal").agg(F.min(F.struct("at", "name", *FOUND[:4], *more)).alias("x"))
