@@ -350,3 +350,20 @@ def test_places_of_items_are_cut_at_their_words():
             assert text[a:b] == " ".join(w) and e == whole_distance(item, text[a:b])
     (_, e, a, b), = own.hits("bathe quick brown fox jumps over the lazy dog and runs")
     assert e == 1 and "bathe quick brown fox jumps over the lazy dog and runs"[a:b].endswith("dog and runs")
+
+
+@pytest.mark.parametrize("stars", [True, False])
+def test_small_buckets_together_are_as_alone(stars):
+    rng = np.random.default_rng(12)
+    sizes = rng.integers(2, 40, 60)
+    sig = np.concatenate([_random_tokens(s, 0.8 if k % 3 else 0.95) for k, s in enumerate(sizes)])
+    n, label, end = rng.integers(80, 110, len(sig)), rng.integers(0, 6, len(sig)), np.repeat(np.cumsum(sizes), sizes)
+    met, pairs = jaccard_join._small(end, 64, n, sig, label, 0.64, 0.8, stars)
+    wanted_met, wanted = [], []
+    for a, b in zip(np.cumsum([0, *sizes]), np.cumsum(sizes)):
+        one = jaccard_join._stars(n[a:b], sig[a:b], 0.64, 0.8) if stars else jaccard_join._best(n[a:b], sig[a:b], label[a:b], 0.64, 0.8)
+        wanted_met += one[0].tolist()
+        wanted += [(i + a, j + a) for i, j in one[1]]
+    assert met.tolist() == wanted_met and sorted(pairs) == sorted(wanted) and len(wanted) > 100
+    empty = np.empty(0, np.int64)
+    assert jaccard_join._small(empty, 64, empty, np.empty((0, 64), np.uint8), empty, 0.64, 0.8, stars)[1] == []
