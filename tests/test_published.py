@@ -121,3 +121,22 @@ def test_names_are_found_by_grams(spark):
     got = {(r["name"], r["ordinal"]) for r in additives.resolve_names(spark.createDataFrame([(n,) for n in names], "name string"), known).collect()}
     lower = [r["common_name"].lower() for r in sorted(known.collect(), key=lambda r: r["ordinal"])]
     assert got == {(n, i) for n in names for i, k in enumerate(lower) if k and k in n.lower()}
+
+
+def test_database_table_is_read_in_ranges(spark):
+    from labelwright.sources import tables as source
+
+    url = "jdbc:derby:memory:labels;create=true"
+    held = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "id int, name string")
+    held.write.format("jdbc").option("url", url).option("dbtable", "parts").option("driver", "org.apache.derby.iapi.jdbc.AutoloadedDriver").mode("overwrite").save()
+    whole = source.jdbc_table(spark, url, "parts")
+    parts = source.jdbc_table(spark, url, "parts", key="id", lower=0, upper=20, partitions=4)
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    assert rows(whole) == rows(parts) == rows(held) and parts.rdd.getNumPartitions() == 4 and whole.rdd.getNumPartitions() == 1
+
+
+def test_advice_follows_the_rating(spark):
+    from labelwright.functions import text
+
+    df = spark.createDataFrame([(0.9,), (0.70,), (0.5,), (0.40,), (0.1,)], "c double")
+    assert [r[0].split()[2] for r in df.select(text.advice(F.col("c"))).collect()] == ["clear.", "clear.", "be", "be", "unclear;"]
