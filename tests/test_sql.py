@@ -25,6 +25,6 @@ PART, SUPPLIER = "p_partkey long, p_name string, p_brand string, p_type string,
 PARTS = [(k, "large ring", "Brand#7", "LARGE", size, 921.7) for k, size in ((1062217, 8), (686857, 18), (9, 8), (4, 8))]
 
 
-@pytest.mark.parametrize("name", ["compliance_scores", "extracted_fields", "report_checklist", "report_declarations", "rule_results", "engine_consensus"])
+@pytest.mark.parametrize("name", ["compliance_scores", "extracted_fields", "report_checklist", "report_declarations", "rule_results", "engine_consensus", "zone_boxes"])
 def test_licences_read_off_a_whole_label(spark, tmp_path, name):
     assert not differing(spark, tmp_path, name, part=(PARTS, PART), supplier=([(0, "Supplier#000000000", 2, 1.0)], SUPPLIER))
