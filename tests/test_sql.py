@@ -28,3 +28,9 @@ PARTS = [(k, "large ring", "Brand#7", "LARGE", size, 921.7) for k, size in ((106
 @pytest.mark.parametrize("name", ["compliance_scores", "extracted_fields", "report_checklist", "report_declarations", "rule_results", "engine_consensus", "zone_boxes"])
 def test_licences_read_off_a_whole_label(spark, tmp_path, name):
     assert not differing(spark, tmp_path, name, part=(PARTS, PART), supplier=([(0, "Supplier#000000000", 2, 1.0)], SUPPLIER))
+
+
+def test_scores_between_two_tenths(spark, tmp_path):
+    # 26.349999999999998 and 15.549999999999999, which become 26.35 and 15.55 when they are multiplied by ten.
+    rows = [(31250, 76.75), (36072, 18.32), (50204, 25.18), (1, 50.0)]
+    assert not differing(spark, tmp_path, "quality_decisions", events=(rows, "event_id long, value double"))
