@@ -10,9 +10,12 @@ are covered with stars: a set and all that look like it. Verified stars label th
 different labels are compared. Every further run adds each set's best candidate in another label; these are verified, and
 join labels. What then stands in one leaf with a candidate in another label is verified throughout, with nothing left out.
 
-So a dense group costs a row for each of its sets and leaves, and a comparison with a few representatives: rows, bytes
-and comparisons grow with its size. They grow faster only where sets are nearly as similar as the threshold without
+So classes cost a dense group a row for each of its sets and leaves, and a comparison with a few representatives: rows,
+bytes and comparisons grow with its size. They grow faster only where sets are nearly as similar as the threshold without
 being linked, as then every pair has to be refuted; these pairs are dealt in blocks of bounded size.
+
+Links are counted afterwards. All links of a set lie in its class, so the sets of a class are compared with each other,
+exactly and each pair once, in blocks; that is quadratic in the sets of a class, and only the counts leave a block.
 """
 
 from __future__ import annotations
@@ -625,14 +628,16 @@ def _units(met: DataFrame, sets: DataFrame, block: int = 512) -> DataFrame:
     return out
 
 
-def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs of sets (sorted distinct hashes) have at least the threshold's Jaccard similarity."""
+def similar(sets: list[np.ndarray], threshold: float, first: int = 0) -> np.ndarray:
+    """Which pairs of sets (sorted distinct hashes) have at least the threshold's Jaccard similarity; of the ``first`` ones
+    with the others alone, if that is given."""
     m, n = len(sets), np.array([len(s) for s in sets])
+    rows, columns = (slice(0, first), slice(first, m)) if first else (slice(0, m), slice(0, m))
     values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     del values
     owner, shared = np.repeat(np.arange(m), n), times[at] > 1
     owner, at = owner[shared], (np.cumsum(times > 1) - 1)[at[shared]]
-    both = np.zeros((m, m), dtype=np.float64)
+    both = np.zeros((len(n[rows]), len(n[columns])), dtype=np.float64)
     order = np.argsort(at, kind="stable")
     owner, at = owner[order], at[order]
     width = int(at[-1]) + 1 if len(at) else 0
@@ -640,8 +645,8 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         i, j = np.searchsorted(at, (a, a + 2048))
         x = np.zeros((m, min(2048, width - a)), dtype=np.float32)
         x[owner[i:j], at[i:j] - a] = 1
-        both += x @ x.T
-    union = n[:, None] + n[None, :] - both
+        both += x[rows] @ x[columns].T
+    union = n[rows, None] + n[None, columns] - both
     return both >= threshold * union - 1e-9
 
 
@@ -680,6 +685,45 @@ def _compare(units: DataFrame, threshold: float, least: float, words: int) -> Da
     return dealt.mapInArrow(lodged("jaccard_join", nothing, run), "a binary, b binary")
 
 
+def _counted(sets: DataFrame, classes: DataFrame, words: Callable[[DataFrame], DataFrame], threshold: float, block_words: int, block: int = 1024) -> DataFrame:
+    """A written table of sid, links: the rows whose sets are linked to a set; of all sets in classes (node, root).
+
+    A class is cut into blocks of about ``block`` sets and half of ``block_words`` words at most; each pair of blocks meets
+    in one place. Two sets that are a class by themselves are linked.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in _groups(batches):
+            at = held.column(1).to_numpy()
+            first = int((at == at[0]).sum())
+            copies = held.column(3).to_numpy()
+            sets = [np.frombuffer(v.as_buffer(), dtype="<u8") for v in held.column(4)]
+            if first < len(at):
+                found = similar(sets, threshold, first)
+                links = np.concatenate([found @ copies[first:], copies[:first] @ found])
+            elif held.column(5)[0].as_py():
+                found = similar(sets, threshold)
+                np.fill_diagonal(found, False)
+                links = found @ copies
+            else:
+                continue
+            yield pa.RecordBatch.from_arrays([held.column(2), pa.array(links, pa.int64())], names=["sid", "links"])
+
+    members = materialize(sets.select("sid", "n", "copies").join(classes.select(F.col("node").alias("sid"), "root"), "sid"), "members")
+    sizes = materialize(members.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("copies").alias("rows"), F.sum(F.col("n").cast("long")).alias("words")), "class-sizes")
+    held = members.join(sized(sizes), "root")
+    pairs = held.filter("m = 2").select("sid", (F.col("rows") - F.col("copies")).alias("links"))
+    parts = F.ceil(F.greatest(F.col("m") / block, F.col("words") * 2 / block_words)).cast("long")
+    placed = held.filter("m > 2").withColumn("parts", parts).withColumn("at", F.pmod(F.xxhash64("sid"), "parts")).select("sid", "root", "copies", "at", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("k"))
+    own = words(held.filter("m > 2").select("sid"))
+    unit = F.xxhash64("root", F.least("at", "k"), F.greatest("at", "k"))
+    dealt = placed.join(own, "sid").select(unit.alias("unit"), "at", "sid", "copies", "own", (F.col("at") == F.col("k")).alias("inner"))
+    found = dealt.repartition("unit").sortWithinPartitions("unit", "at", "sid").mapInArrow(lodged("jaccard_join", nothing, run), "sid binary, links long")
+    out = materialize(found.groupBy("sid").agg(F.sum("links").alias("links")).unionByName(pairs), "link-counts")
+    discard(members, sizes, own)
+    return out
+
+
 def _sets(rows: DataFrame) -> DataFrame:
     """sid, own: the sets of candidates' texts."""
 
@@ -700,8 +744,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets' Jaccard similarity is at least the threshold and the runs make them meet: a pair at the threshold does with
     probability ``recall`` or more, a closer one with more. A class is what links connect, named by its smallest doc_id.
     n_copies counts the rows with an equal set, itself included; n_links the other rows that a row was verified to be
-    linked to: its copies, and those of the sets whose links hold the class together. Links between sets that others
-    already connect are not looked for, so n_links is at least 1 in a class of several rows and at most the full number.
+    linked to: its copies, and all rows of its class whose sets are similar enough, however many they are.
 
     A text that is null or has no word is alone: its own id, no links, one copy. Rows with a null id take part; they only
     can't name a class that has another id. Repeated rows are copies, always linked. Very long texts count whole. Extra
@@ -747,9 +790,10 @@ def _links(sets: DataFrame, words: Callable[[DataFrame], DataFrame], threshold:
     return connected(edges, rest)
 
 
-def _classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.99, bucket: int = 2048, slack: float = 0.16, crowded: int = 32_768, block_words: int = 2_000_000) -> DataFrame:
+def _classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, recall: float = 0.99, bucket: int = 2048, slack: float = 0.16, crowded: int = 32_768, block_words: int = 2_000_000, counted: bool = True) -> DataFrame:
     """The columns of :func:`near_duplicates`, the text's digest, and first: (id, digest) of the row that names the class;
-    null without a word. ``bucket`` is the number of sets compared by brute force, ``crowded`` that of a bucket in one task."""
+    null without a word. ``bucket`` is the number of sets compared by brute force, ``crowded`` that of a bucket in one task.
+    Unless ``counted``, links are not counted, and n_links is null."""
     ship(docs.sparkSession)
     signed = materialize(_signed(docs, doc_id, text), "signed")
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
@@ -767,12 +811,15 @@ def _classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
         return out
 
     edges, classes = _links(sets.select("sid", "n", "sig"), words, threshold, recall, bucket, threshold - slack, crowded, block_words)
-    both = edges.select(F.least("a", "b").alias("sid"), F.greatest("a", "b").alias("other")).distinct()
-    both = materialize(both.unionByName(both.select(F.col("other").alias("sid"), F.col("sid").alias("other"))), "both-ways")
-    links = both.join(sets.select(F.col("sid").alias("other"), "copies"), "other").groupBy("sid").agg(F.sum("copies").alias("links"))
     roots = classes.select(F.col("node").alias("sid"), "root")
-    placed = materialize(sets.select("sid", "first", "copies").join(links, "sid", "left").join(roots, "sid", "left"), "placed")
-    discard(edges, both, classes, sets)
+    placed = sets.select("sid", "first", "copies").join(roots, "sid", "left")
+    if counted:
+        links = _counted(sets, classes, words, threshold, block_words)
+        placed = materialize(placed.join(links, "sid", "left"), "placed")
+        discard(links)
+    else:
+        placed = materialize(placed.withColumn("links", F.lit(None).cast("long")), "placed")
+    discard(edges, classes, sets)
     # Sets without a link have no root and stay out of the join, where they would all be one key.
     linked, alone = placed.filter(F.col("root").isNotNull()), placed.filter(F.col("root").isNull())
     names = materialize(linked.groupBy("root").agg(F.min("first").alias("name")), "names")
@@ -782,14 +829,15 @@ def _classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", thresh
     out = materialize(worded.unionByName(empty, allowMissingColumns=True), "classes")
     discard(ids, placed, names)
     name = F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("name.doc_id"))
-    return out.select("doc_id", name.alias("class_id"), (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"), "digest", F.col("name").alias("first"))
+    n_links = F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("links", F.lit(0))
+    return out.select("doc_id", name.alias("class_id"), (n_links if counted else F.lit(None).cast("long")).alias("n_links"), F.coalesce("copies", F.lit(1)).alias("n_copies"), "digest", F.col("name").alias("first"))
 
 
 def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **params) -> DataFrame:
     """One row of each class, with the columns of the input: the one with the least id, of equal ids the least digest of
     a text; null ids come last. Rows are told by id and text together, so an id that stands on two texts loses only the
     copy. Texts without a word are alone and stay."""
-    found = _classes(docs, doc_id, text, **params).filter(F.col("first").isNotNull())
+    found = _classes(docs, doc_id, text, counted=False, **params).filter(F.col("first").isNotNull())
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest"))
     judged = materialize(found.select("doc_id", "digest", stays.alias("stays")).groupBy("doc_id", "digest").agg(F.max("stays").alias("stays"), F.count(F.lit(1)).alias("n")), "near")
     gone = materialize(judged.filter("not stays").select(F.col("doc_id").alias("__near_id"), F.col("digest").alias("__near_digest")), "near-gone")

@@ -273,6 +273,17 @@ def test_dense_groups_grow_with_their_size(spark, monkeypatch, params):
     assert (large <= 5 * small).all(), (small, large)
 
 
+def test_all_links_of_dense_groups_count(spark):
+    rows = _like_texts(60)
+    rows = [(i, t) for i, t in rows] + [(1000 + i, t) for i, t in rows[:7]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    truth = brute(rows)
+    assert max(t[2] for t in truth) > 20
+    for params in ({}, {"bucket": 16, "crowded": 40, "block_words": 400}):
+        got = sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard_join.near_duplicates(docs, recall=0.9999, **params).collect())
+        assert got == truth
+
+
 def test_like_sets_without_links_are_told_apart(spark):
     # All alike, none linked: every text shares 70 % with any other, and a few pairs are linked.
     rows = [(i, " ".join(f"h{j}" for j in range(70)) + " " + " ".join(f"y{i}z{j}" for j in range(16))) for i in range(60)]
