@@ -4,6 +4,8 @@ import duckdb
 import pytest
 
 from labelwright import queries
+from labelwright.operators import additives
+from labelwright.sources import dimensions
 
 
 def differing(spark, folder, name, **tables):
@@ -34,3 +36,15 @@ def test_scores_between_two_tenths(spark, tmp_path):
     # 26.349999999999998 and 15.549999999999999, which become 26.35 and 15.55 when they are multiplied by ten.
     rows = [(31250, 76.75), (36072, 18.32), (50204, 25.18), (1, 50.0)]
     assert not differing(spark, tmp_path, "quality_decisions", events=(rows, "event_id long, value double"))
+
+
+def test_what_labels_are_made_of_is_not_broadcast(spark, monkeypatch):
+    labels = spark.createDataFrame([(i, "Ingredients: Sugar, Guar Gum, Emulsifier (INS 471).") for i in range(4)], "product_id long, text string")
+    found = {}
+    for small in (additives.SMALL, 0):
+        monkeypatch.setattr(additives, "SMALL", small)
+        rows = additives.profiles(labels, dimensions.additives(spark), "product_id")
+        plan = rows._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("BroadcastHashJoin") == plan.count("BuildRight") == (2 if small else 0)
+        found[small] = sorted((r["product_id"], *(a["identifier"] for a in r["additives"])) for r in rows.collect())
+    assert found[0] == found[4096] == [(i, "INS 471", "INS 412") for i in range(4)]
