@@ -8,11 +8,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .labels import spread
 from .pictures import PIXELS
 
 
 def drawn(rows: DataFrame, draw: Callable[..., np.ndarray], *columns: str) -> DataFrame:
-    """Adds width, height and pixels of ``draw`` of the columns' values."""
+    """Adds width, height and pixels of ``draw`` of the columns' values; the rows are dealt out over all cores before."""
+    rows = spread(rows)
     names = rows.columns
     at = [names.index(c) for c in columns]
 
