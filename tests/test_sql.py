@@ -48,3 +48,12 @@ def test_what_labels_are_made_of_is_not_broadcast(spark, monkeypatch):
         assert plan.count("BroadcastHashJoin") == plan.count("BuildRight") == (2 if small else 0)
         found[small] = sorted((r["product_id"], *(a["identifier"] for a in r["additives"])) for r in rows.collect())
     assert found[0] == found[4096] == [(i, "INS 471", "INS 412") for i in range(4)]
+
+
+@pytest.mark.parametrize("name", ["fallback_fields", "picture_metrics", "reading_consensus", "seeded_totals", "text_regions", "text_similarity", "validated_tokens"])
+def test_costly_rows_are_dealt_over_all_cores(spark, tmp_path, name):
+    spark.createDataFrame([(i, "large ring", "Brand#7", "LARGE", 8, 921.7) for i in range(8)], PART).coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, "Supplier", 2, 1.0) for i in range(8)], SUPPLIER).coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(i, "Customer", "BUILDING") for i in range(8)], "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan
