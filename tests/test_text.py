@@ -1,3 +1,5 @@
+import time
+
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -56,3 +58,18 @@ def test_invariants(spark, values):
     assert each(spark, once, text.squeeze) == once
     for item in (x for items in each(spark, values, text.split_items) for x in items):
         assert len(item) >= 1 and item == item.strip()
+
+
+def test_a_text_is_searched_once_for_each_form_of_a_date(spark):
+    column = extract.date(F.col("s"))
+    shown = spark.createDataFrame([("x",)], "s string").select(column)._jdf.queryExecution().analyzed().toString()
+    assert shown.count("regexp_extract(") == 3
+
+
+def test_texts_without_a_company_s_word_are_not_searched_for_one(spark):
+    # The pattern is tried from each of these letters to the end: minutes for one text.
+    long = "Ab, " * 20_000
+    rows = spark.createDataFrame([(0, long), (1, "Acme Foods Plot 7")], "k int, t string").select("k", extract.maker(F.col("t"))["value"].alias("v"))
+    start = time.perf_counter()
+    assert sorted(map(tuple, rows.collect())) == [(0, None), (1, "Acme Foods Plot 7")]
+    assert time.perf_counter() - start < 30
