@@ -73,3 +73,11 @@ def test_texts_without_a_company_s_word_are_not_searched_for_one(spark):
     start = time.perf_counter()
     assert sorted(map(tuple, rows.collect())) == [(0, None), (1, "Acme Foods Plot 7")]
     assert time.perf_counter() - start < 30
+
+
+def test_items_are_cut_in_steps_of_words_not_of_characters(spark):
+    label = "Salt (sea; rock [x, y]), " + "a" * 300_000 + ", and oil; Cocoa*."
+    rows = spark.createDataFrame([(label,)], "t string").select(text.split_items(F.col("t")).alias("v"))
+    start = time.perf_counter()
+    assert rows.head()["v"] == ["Salt (sea; rock [x, y])", "a" * 300_000, "Cocoa"]
+    assert time.perf_counter() - start < 30
