@@ -60,7 +60,7 @@ def image_metrics(images: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in SCHEMA.split(", ")]
         types = [pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 9]
-        for batch in batches:
+        for batch in (whole.slice(i, 64) for whole in batches for i in range(0, whole.num_rows, 64)):
             rows = []
             for r in batch.to_pylist():
                 w, h, data = r["width"] or 0, r["height"] or 0, r["pixels"] or b""

@@ -12,14 +12,15 @@ from .labels import spread
 from .pictures import PIXELS
 
 
-def drawn(rows: DataFrame, draw: Callable[..., np.ndarray], *columns: str) -> DataFrame:
-    """Adds width, height and pixels of ``draw`` of the columns' values; the rows are dealt out over all cores before."""
-    rows = spread(rows)
+def drawn(rows: DataFrame, draw: Callable[..., np.ndarray], *columns: str, most: int = 4096) -> DataFrame:
+    """Adds width, height and pixels of ``draw`` of the columns' values; the rows are dealt out over all cores before, about
+    ``most`` to a partition, as Python holds up to 10,000 rows of one at a time, here and wherever the pictures go next."""
+    rows = spread(rows, most)
     names = rows.columns
     at = [names.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(i, 64) for whole in batches for i in range(0, max(1, whole.num_rows), 64)):
             found = [draw(*v) for v in zip(*(batch.column(i).to_pylist() for i in at), strict=True)]
             new = [pa.array([g.shape[1] for g in found], pa.int32()), pa.array([g.shape[0] for g in found], pa.int32()), pa.array([g.tobytes() for g in found], pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*names, "width", "height", "pixels"])

@@ -70,6 +70,12 @@ def _decode(data: bytes, most_pixels: int) -> tuple:
     return None, None, None
 
 
+def _rows(batch: pa.RecordBatch, most: int = 64) -> Iterator[dict]:
+    """The rows, of which only a few are copied at a time."""
+    for i in range(0, batch.num_rows, most):
+        yield from batch.slice(i, most).to_pylist()
+
+
 @dataclass
 class Written(WriterCommitMessage):
     """A task's folder and how many pictures it holds."""
@@ -103,7 +109,7 @@ class _PictureWriter(DataSourceArrowWriter):
         folder, n = f"_temporary/{self.job}/{uuid.uuid4().hex}", 0
         try:
             for batch in iterator:
-                for r in batch.select(["name", "width", "height", "pixels"]).to_pylist():
+                for r in _rows(batch.select(["name", "width", "height", "pixels"])):
                     if not re.fullmatch(r"[^/\\\0]+", r["name"] or "") or r["name"].startswith((".", "_")) or len(r["pixels"] or b"") != (r["width"] or 0) * (r["height"] or 0) or not r["pixels"]:
                         raise ValueError(f"no picture to write: {r['name']!r}")
                     if not n:

@@ -285,3 +285,10 @@ def test_staged_passes_are_the_fold_and_read_ever_less(spark):
     counts = dict(asked)
     assert [n for n, _ in asked] == list(passes.PASSES) and counts["natural_90deg"] < 300 and counts["variant_crop"] >= counts["variant_a"] >= counts["variant_b"] >= counts["variant_d"] and counts["region"] < counts["variant_a"]
     assert passes.staged(first.limit(0), passes.from_table(table)).count() == 0
+
+
+def test_pictures_come_in_partitions_of_a_bounded_number(spark):
+    rows = spark.range(5000).coalesce(1).selectExpr("id", "cast(id % 7 as int) as a")
+    found = drawn.drawn(rows, lambda a: drawn.stripes(4, 2, a, a), "a", most=512)
+    held = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("pixels").alias("n")).select("n").collect()]
+    assert sum(held) == 5000 and max(held) <= 600
