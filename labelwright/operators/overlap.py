@@ -88,12 +88,21 @@ def features(pictures: DataFrame, group: str, order: str, most: int = 1000) -> D
 
 def overlaps(pictures: DataFrame, group: str, order: str, most: int = 1000) -> DataFrame:
     """group, order, overlap: of each picture but the last of its group with the next one."""
+    return _met(pictures, group, order, most).filter(F.col("overlap").isNotNull())
+
+
+def _met(pictures: DataFrame, group: str, order: str, most: int = 1000) -> DataFrame:
+    """group, order, overlap of every picture; null for the last of its group. Few large groups leave most cores without
+    work, so the pairs are dealt out anew before they are compared."""
     w = Window.partitionBy(group).orderBy(order)
-    pairs = features(pictures, group, order, most).withColumn("next", F.lead("descriptors").over(w)).filter(F.col("next").isNotNull())
+    pairs = features(pictures, group, order, most).withColumn("next", F.lead("descriptors").over(w))
+    session = pairs.sparkSession
+    n = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    pairs = pairs.repartition(n, group, order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [overlap(*(np.frombuffer(x, dtype=np.uint8).reshape(-1, 32) for x in p)) for p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            out = [None if p[1] is None else overlap(*(np.frombuffer(x, dtype=np.uint8).reshape(-1, 32) for x in p)) for p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.float64())], names=[group, order, "overlap"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.select(group, order).schema)
@@ -102,6 +111,5 @@ def overlaps(pictures: DataFrame, group: str, order: str, most: int = 1000) -> D
 
 def panoramas(pictures: DataFrame, group: str, order: str) -> DataFrame:
     """group, n_images, overlap_confidence: the mean overlap of neighbours, 0 for a single picture."""
-    n = pictures.groupBy(group).agg(F.count(F.lit(1)).alias("n_images"))
-    mean = overlaps(pictures, group, order).groupBy(group).agg(F.avg("overlap").alias("overlap_confidence"))
-    return n.join(mean, group, "left").withColumn("overlap_confidence", F.coalesce("overlap_confidence", F.lit(0.0)))
+    per = _met(pictures, group, order).groupBy(group).agg(F.count(F.lit(1)).alias("n_images"), F.avg("overlap").alias("overlap_confidence"))
+    return per.withColumn("overlap_confidence", F.coalesce("overlap_confidence", F.lit(0.0)))

@@ -292,3 +292,11 @@ def test_pictures_come_in_partitions_of_a_bounded_number(spark):
     found = drawn.drawn(rows, lambda a: drawn.stripes(4, 2, a, a), "a", most=512)
     held = [r["n"] for r in found.groupBy(F.spark_partition_id()).agg(F.count("pixels").alias("n")).select("n").collect()]
     assert sum(held) == 5000 and max(held) <= 600
+
+
+def test_pictures_are_made_once_and_pairs_of_a_large_group_are_dealt_out(spark):
+    rows = spark.range(9).select(F.lit(1).alias("nation"), F.col("id").alias("position"), F.when(F.col("id") != 4, 3).alias("seed"))
+    found = overlap.panoramas(drawn.drawn(rows, drawn.texture, "seed"), "nation", "position")
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("MapInArrow") == 3 and "REPARTITION_BY_NUM" in plan.split("Window")[0]
+    assert [tuple(r) for r in found.collect()] == [(1, 9, 0.75)]

@@ -63,7 +63,7 @@ def test_invariants(spark, values):
 def test_a_text_is_searched_once_for_each_form_of_a_date(spark):
     column = extract.date(F.col("s"))
     shown = spark.createDataFrame([("x",)], "s string").select(column)._jdf.queryExecution().analyzed().toString()
-    assert shown.count("regexp_extract(") == 3
+    assert shown.split(" AS ")[0].count("regexp_extract(") == 3
 
 
 def test_texts_without_a_company_s_word_are_not_searched_for_one(spark):
