@@ -2,10 +2,11 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from labelwright import queries
 from labelwright.operators import additives
-from labelwright.sources import dimensions
+from labelwright.sources import dimensions, tables
 
 
 def differing(spark, folder, name, **tables):
@@ -57,3 +58,19 @@ def test_costly_rows_are_dealt_over_all_cores(spark, tmp_path, name):
     spark.createDataFrame([(i, "Customer", "BUILDING") for i in range(8)], "c_custkey long, c_name string, c_mktsegment string").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
     plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan
+
+
+def test_joins_are_dealt_by_the_number_of_rows(spark):
+    rows = spark.range(100).withColumn("k", F.col("id") % 50)
+    assert tables.dealt(rows, 100, "k").rdd.getNumPartitions() == 4
+    found = tables.dealt(rows, 100, "k", most=10)
+    assert found.rdd.getNumPartitions() == 10
+    assert found.select("k", F.spark_partition_id()).distinct().count() == 50
+
+
+@pytest.mark.parametrize("name", ["evidence_views", "published_findings"])
+def test_both_sides_of_such_joins_are_dealt(spark, tmp_path, name):
+    spark.createDataFrame([(i, 1, "F", "1-URGENT", "x") for i in range(8)], "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string, o_orderdate string").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i % 8, i // 8, "R", i) for i in range(32)], "l_orderkey long, l_linenumber int, l_returnflag string, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("REPARTITION_BY_NUM") == 2
