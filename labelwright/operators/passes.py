@@ -1,12 +1,14 @@
 """M9: the controller of readings as rounds: only labels that are still open go to the next pass.
 
 A reading is expensive, so a pass is made for the labels that ask for it and no others. Between rounds each label has one
-narrow row of what is known so far, written to the shared folder.
+narrow row of what is known so far, written to the shared folder in buckets by key, so that rounds deal no label out again.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,26 +35,49 @@ def wanted(name: str, retries: int = 5) -> Column:
     }[name]
 
 
-def _table(df: DataFrame, name: str) -> DataFrame:
-    df.write.parquet(path := shared_folder(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def bucket_count(labels: DataFrame, most: int = 250_000) -> int:
+    """So many buckets that each has about ``most`` labels, which a task sorts in memory; one for each core at least."""
+    return max(labels.sparkSession.sparkContext.defaultParallelism, -(-labels.count() // most))
 
 
-def staged(labels: DataFrame, read: Callable[[str, DataFrame], DataFrame], key: str = "label_id", retries: int = 5) -> DataFrame:
+@contextmanager
+def bucketed(df: DataFrame, name: str, key: str, buckets: int, *parts: str) -> Iterator[DataFrame]:
+    """The rows, written to the shared folder in buckets by key; tables of one number of buckets meet by key without a shuffle.
+
+    The catalog knows the table until the context ends. Its files stay; a table without ``parts`` may be read later, too.
+    """
+    spark, known = df.sparkSession, f"labelwright_{name}_{uuid.uuid4().hex}"
+    try:
+        df.write.bucketBy(buckets, key).partitionBy(*parts).option("path", shared_folder(spark, name)).saveAsTable(known, format="parquet")
+        yield spark.table(known)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {known}")
+
+
+def _table(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    with bucketed(df, "passes", key, buckets) as state:
+        return state
+
+
+def staged(labels: DataFrame, read: Callable[[str, DataFrame], DataFrame], key: str = "label_id", retries: int = 5, buckets: int | None = None) -> DataFrame:
     """key, ran, retries, passes, best_confidence of each label.
 
     labels: key (once), first_confidence (0 where the first reading found no text), first_score, aspect, text of the first
     reading. ``read(pass, keys)`` gives key, text, confidence of the labels asked for that have such a picture, each once.
     Two thresholds end it early: enhanced variants are read only below a confidence of 0.70 or 40 letters, the enlarged one
     below 0.45; turned and cropped pictures count as retries only if text came out. Null texts are empty; an empty table
-    gives no rows.
+    gives no rows. The labels are dealt once into so many buckets (see :func:`bucket_count`; else as many as a shuffle has
+    partitions). Readings that are :func:`bucketed` by that number are not shuffled; of others a pass shuffles its own.
     """
+    buckets = buckets or int(labels.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    narrow = labels.select(key, "first_confidence", "first_score", "aspect", F.coalesce(F.char_length("text"), F.lit(0)).alias("length"))
     state = _table(
-        labels.select(
-            key, "first_confidence", "first_score", "aspect", F.col("first_confidence").alias("best_confidence"), F.coalesce(F.char_length("text"), F.lit(0)).alias("length"), F.lit(0).alias("retries"),
+        narrow.repartition(buckets, key).select(
+            key, "first_confidence", "first_score", "aspect", F.col("first_confidence").alias("best_confidence"), "length", F.lit(0).alias("retries"),
             F.when(F.col("first_confidence") > 0, 1).otherwise(0).alias("passes"), F.array().cast("array<string>").alias("ran"), F.lit(False).alias("enhance"), F.lit(False).alias("enlarge"),
         ),
-        "passes",
+        key,
+        buckets,
     )
     for name in PASSES:
         left, short = F.col("retries") < retries, F.col("length") < 40
@@ -72,7 +97,7 @@ def staged(labels: DataFrame, read: Callable[[str, DataFrame], DataFrame], key:
             "passes": F.col("passes") + F.when(found, 1).otherwise(0),
             "ran": F.when(runs, F.array_append("ran", F.lit(name))).otherwise(F.col("ran")),
         }
-        state = _table(joined.withColumns(new).select(*state.columns), "passes")
+        state = _table(joined.withColumns(new).select(*state.columns), key, buckets)
     return state.select(key, "ran", "retries", "passes", "best_confidence")
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from labelwright import queries
-from labelwright.operators import additives
+from labelwright.operators import additives, passes
 from labelwright.sources import dimensions, tables
 
 
@@ -74,3 +74,27 @@ def test_both_sides_of_such_joins_are_dealt(spark, tmp_path, name):
     spark.createDataFrame([(i % 8, i // 8, "R", i) for i in range(32)], "l_orderkey long, l_linenumber int, l_returnflag string, l_suppkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
     plan = queries.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.split("== Initial Plan ==")[-1].count("REPARTITION_BY_NUM") == 2
+
+
+def test_rounds_of_readings_deal_labels_out_once(spark, tmp_path, monkeypatch):
+    plans, table = [], passes._table
+
+    def seen(df, *how):
+        plans.append(df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1])
+        return table(df, *how)
+
+    monkeypatch.setattr(passes, "_table", seen)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not differing(spark, tmp_path, "staged_readings", events=([(i * i,) for i in range(300)], "event_id long"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert [p.count("Exchange") for p in plans] == [1] + [0] * len(passes.PASSES)
+    assert all(p.count("SortMergeJoin") == 2 for p in plans[1:])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("labelwright_")]
+
+
+def test_buckets_follow_the_number_of_labels(spark):
+    assert passes.bucket_count(spark.range(100)) == 4
+    assert passes.bucket_count(spark.range(101), most=10) == 11
