@@ -215,6 +215,33 @@ def test_component_tree_against_flood_fill():
         assert all((nodes[n[6]][0] if n[6] >= 0 else None) == parents[tuple(n[:6])] and (n[6] < 0 or nodes[n[6]][6] > -2) for n in real)
 
 
+def test_component_tree_grows_with_zones_not_with_pixels():
+    assert len(pixels.component_tree(drawn.block(120, 100, 20, 30, 12, 9))) == 2
+    large = np.full((900, 1100), 255, dtype=np.uint8)
+    for i in range(40):
+        large[20 * i + 5 : 20 * i + 17, 25 * i : 25 * i + 14] = i
+    nodes = pixels.component_tree(large)
+    assert len(nodes) == 41 and sorted(n[:6] for n in nodes)[:40] == [[i, 168, 25 * i, 20 * i + 5, 25 * i + 14, 20 * i + 17] for i in range(40)]
+    # A spiral is one zone inside another, however many runs it has.
+    spiral, at, step = np.zeros((41, 41), dtype=np.uint8), [0, 0], (0, 1)
+    spiral[0, 0] = 200
+    for n in [40, *(k for k in range(40, 0, -2) for _ in range(2))]:
+        for _ in range(n):
+            at = [at[0] + step[0], at[1] + step[1]]
+            spiral[tuple(at)] = 200
+        step = step[1], -step[0]
+    value, spans, pairs = pixels.flat_zones(spiral)
+    assert value.tolist() == [200, 0] and spans[:, 0].tolist() == [int((spiral == 200).sum()), int((spiral == 0).sum())] and pairs.tolist() == [[0, 1]]
+
+
+def test_zones_of_one_value_join_through_what_is_lower():
+    g = np.zeros((60, 60), dtype=np.uint8)
+    g[1::2, 1::2] = 9
+    g[:, 30] = 5
+    real = [n for n in pixels.component_tree(g) if n[6] > -2]
+    assert sorted(n[:6] for n in real) == [[0, 1290, 31, 0, 60, 60], [0, 1350, 0, 0, 30, 60], [5, 2700, 0, 0, 60, 60], [9, 3600, 0, 0, 60, 60]]
+
+
 def test_stable_regions_of_drawn_pictures(spark):
     g = np.full((120, 160), 230, dtype=np.uint8)
     marks = [(10, 10, 22, 24), (60, 30, 75, 40), (100, 80, 112, 95)]
